@@ -1,0 +1,143 @@
+"""Copies of records that differ in formatting only (problem 3).
+
+Dictionary encoding: every record falls apart into cells (field, kind, value). Each
+distinct value is canonicalised once and gets an integer identifier, the place of its
+first cell (record id, cell number), so that ids need neither a global sort nor a
+materialised counter and come out the same on every run. Records become sorted tuples
+of identifiers, and equal tuples are one group.
+
+    cells -> distinct raw values (partial aggregation; the only shuffle of text)
+          -> canonical value -> identifier   (16-byte marks from here on)
+          -> tuples of identifiers -> groups -> (keep_id, copy_id)
+
+A value or a group that a third of the rows share is folded by partial aggregation;
+where rows meet their dictionary entry or their group, the key is a mark of 16 bytes
+and AQE splits what is skewed. No group is ever collected.
+
+Defined results
+    strings       equal if their letters and digits, in order, case aside, are equal
+    numbers       equal if their values are (1, 1.0, 1e0); never equal to strings or booleans
+    null          a value of its own; a missing field differs from a null field
+    payload null or unparsable -> the record has no copies
+    prompt null   -> the record has no copies
+    repeated ids  -> one row (an id isn't a copy of itself)
+    empty tables  -> empty result; extra columns are ignored
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sondar.functions.text import letters_digits, strip_all
+
+CELLS = "id bigint, at int, field string, kind string, value string"
+
+
+def _number(n: Decimal) -> str:
+    sign, digits, exponent = n.as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    if not text:
+        return "0"
+    short = text.rstrip("0")
+    return f"{'-' * sign}{short}e{exponent + len(text) - len(short)}"
+
+
+def _reject(name: str) -> None:
+    raise ValueError(name)
+
+
+def flatten_json(text: str) -> list[tuple[str, str, str]] | None:
+    """(field, kind, value) of every value of a JSON text, at every level; None if it doesn't parse."""
+    try:
+        top = json.loads(text, parse_float=Decimal, parse_int=Decimal, parse_constant=_reject)
+    except (ValueError, RecursionError):
+        return None
+    out, stack = [], [("$", top)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            out.append((path, "object", ""))
+            stack.extend((f"{path}.{json.dumps(k)}", v) for k, v in value.items())
+        elif isinstance(value, list):
+            out.append((path, "array", str(len(value))))
+            stack.extend((f"{path}[{i}]", v) for i, v in enumerate(value))
+        elif isinstance(value, str):
+            out.append((path, "string", value.encode("utf-8", "ignore").decode()))
+        elif isinstance(value, Decimal):
+            out.append((path, "number", _number(value)))
+        else:
+            out.append((path, "literal", json.dumps(value)))
+    return out
+
+
+def json_cells(records: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """Cells of the records whose payload parses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cells = flatten_json(text) or ()
+                ids.extend([rid] * len(cells))
+                rows.extend((k, *cell) for k, cell in enumerate(cells))
+            at, field, kind, value = zip(*rows) if rows else ((), (), (), ())
+            columns = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), *(pa.array(x, pa.string()) for x in (field, kind, value))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "field", "kind", "value"])
+
+    picked = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).cast("string").alias("payload"))
+    return picked.where("id IS NOT NULL AND payload IS NOT NULL").mapInArrow(run, CELLS)
+
+
+def column_cells(records: DataFrame, id_col: str, **columns) -> DataFrame:  # noqa: ANN003
+    """Cells of named string columns; a record with a null in one of them has none."""
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.lit("string").alias("kind"), c.alias("value")) for n, c in columns.items()])
+    picked = records.select(F.col(id_col).cast("bigint").alias("id"), cells.alias("cells"))
+    picked = picked.where("id IS NOT NULL AND NOT exists(cells, c -> c.value IS NULL)")
+    return picked.select("id", F.posexplode("cells").alias("at", "cell")).select("id", "at", "cell.*")
+
+
+def _mark(value) -> F.Column:  # noqa: ANN001
+    return F.unhex(F.md5(F.concat_ws("\x00", "field", "kind", value)))
+
+
+def encoded(cells: DataFrame) -> DataFrame:
+    """(id, key): each record as its sorted tuple of identifiers."""
+    distinct = cells.groupBy("field", "kind", "value").agg(F.min(F.struct("id", "at")).alias("first"))
+    canonical = F.when(F.col("kind") == "string", letters_digits(F.col("value"))).otherwise(F.col("value"))
+    marked = distinct.select(_mark("value").alias("raw"), _mark(canonical).alias("canonical"), "first")
+    identifiers = marked.groupBy("canonical").agg(F.min("first").alias("identifier"))
+    dictionary = marked.join(identifiers, "canonical").select("raw", "identifier")
+    tuples = cells.select("id", _mark("value").alias("raw")).join(dictionary, "raw")
+    return tuples.groupBy("id").agg(F.sort_array(F.collect_set("identifier")).alias("key"))
+
+
+def copies(cells: DataFrame) -> DataFrame:
+    """(keep_id, copy_id): of every group of equal records the smallest id, with each other id."""
+    records = encoded(cells).select("id", F.unhex(F.sha2(F.to_json("key"), 256)).alias("key"))
+    groups = records.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    pairs = records.join(groups, "key").where("id <> keep_id")
+    return pairs.select("keep_id", F.col("id").alias("copy_id"))
+
+
+def group_sizes(cells: DataFrame) -> DataFrame:
+    """(keep_id, copies): one row per distinct record and how many records it stands for."""
+    records = encoded(cells)
+    return records.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("key")
+
+
+def wildguard_cells(wildguard: DataFrame) -> DataFrame:
+    harmful = F.coalesce(F.lower(strip_all(F.col("prompt_harm_label"))) == "harmful", F.lit(False))
+    return column_cells(wildguard, "record_id", prompt=F.col("prompt"), harmful=harmful.cast("string"))
+
+
+def found(wildguard: DataFrame, raw_records: DataFrame) -> DataFrame:
+    """(source_table, keep_id, copy_id) of both tables."""
+    w = copies(wildguard_cells(wildguard)).withColumn("source_table", F.lit("wildguard_mix"))
+    r = copies(json_cells(raw_records, "raw_id", "payload")).withColumn("source_table", F.lit("raw_records"))
+    return w.unionByName(r).select("source_table", "keep_id", "copy_id")

@@ -1,0 +1,276 @@
+"""Records of evaluation splits that also stand in the train split (problem 5).
+
+Content-defined chunks: a rolling hash over two words cuts every normalised record at
+positions that depend on its words alone. From each cut on, the chunks up to a least
+number of words give one digest. Digests are joined across the splits; the lengths of
+shared stretches add up to an overlap fraction of a pair. Pairs of enough overlap are
+then held against their words exactly.
+
+    records -> words (native), written once -> one representative per wording and side
+            -> digests (Arrow, narrow) -> join on digest, with length and position
+            -> overlap fraction -> word edit distance -> members of each wording
+
+Copies are folded into representatives before any join, so a wording that a third of
+the rows have is one row there; digests of different wordings are spread by the hash
+of the digest, and AQE splits what stays skewed.
+
+Defined results
+    null or unknown split           -> in no split, never reported
+    null or blank messages, no word -> overlaps with nothing
+    system messages, role spelling, case, punctuation, white space -> don't count
+    equal ids in both splits        -> no pair (a pair has two different ids)
+    repeated rows                   -> distinct pairs
+    empty tables                    -> empty result
+    extra columns                   -> ignored
+    texts of any length             -> chunked and compared whole
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sondar.functions.text import normalize_role, split_name, squeeze_words
+from sondar.session import written
+
+#: One word in this many may differ.
+TOLERANCE = 10
+#: Mean chunk and least stretch in words; the second line is for records below SHORT words.
+CHUNK, STRETCH = 6, 12
+CHUNK_SHORT, STRETCH_SHORT = 2, 5
+SHORT = 3 * STRETCH
+#: Least overlap fraction of a pair that is compared word by word.
+OVERLAP = 0.1
+
+_MEMO = 500_000
+_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_B_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+
+
+def dialogue_words(messages: Column) -> Column:
+    """Words of the user and assistant messages of a dialogue, in order, joined by blanks."""
+    kept = F.filter(messages, lambda m: normalize_role(m["role"]).isin("user", "assistant"))
+    return squeeze_words(F.array_join(F.transform(kept, lambda m: m["content"]), " "))
+
+
+class Chunker:
+    """Digests of stretches of words, for many records at once."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, int] = {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        memo = self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        for w in set(words).difference(memo):
+            memo[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+    def digests(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(record, digest, position, length of the stretch, words of the record)."""
+        words = [t.split(" ") for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        h = self.hashes([w for ws in words for w in ws])
+        n = len(h)
+        with np.errstate(over="ignore"):
+            rolled = np.zeros(n, np.uint64)
+            rolled[1:] = (h[:-1] * _A + h[1:]) * _B >> np.uint64(40)
+            record = np.repeat(np.arange(len(words)), sizes)
+            within = (np.arange(n) - starts[record]).astype(np.int64)
+            powers = np.cumprod(np.full(int(sizes.max(initial=1)), _B, np.uint64))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(h * powers[within], out=sums[1:])
+            unpowers = np.cumprod(np.full(int(sizes.max(initial=1)), _B_INVERSE, np.uint64))
+            out = []
+            tol = SHORT * TOLERANCE // (TOLERANCE - 1) + 1
+            for chunk, least, of in ((CHUNK, STRETCH, sizes >= SHORT), (CHUNK_SHORT, STRETCH_SHORT, sizes < tol)):
+                cut = (rolled % np.uint64(chunk) == 0) & of[record]
+                cut[starts[of]] = True
+                at = np.flatnonzero(cut)
+                if not len(at):
+                    continue
+                r = record[at]
+                bounds = np.union1d(at, ends[of])
+                want = at + least
+                whole = (want > ends[r]) & (at == starts[r])
+                to = np.where(whole, ends[r], bounds[np.minimum(np.searchsorted(bounds, want), len(bounds) - 1)])
+                keep = whole | (want <= ends[r])
+                at, to, r = at[keep], to[keep], r[keep]
+                digest = (sums[to] - sums[at]) * unpowers[within[at]]
+                digest = (digest ^ (digest >> np.uint64(29))) * _A + (to - at).astype(np.uint64)
+                out.append((r, digest.view(np.int64), within[at], to - at, sizes[r]))
+        if not out:
+            empty = np.zeros(0, np.int64)
+            return empty, empty, empty, empty, empty
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: Bits of a position or a length in words, and of a stretch's length (longer ones count as 255).
+_BITS, _LEN_BITS = 28, 8
+
+
+def digests_of(records: DataFrame) -> DataFrame:
+    """(digest, rep, place) of records (rep, words); place packs position, record length and stretch length."""
+    id_type = records.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            record, digest, at, length, n = chunker.digests(batch.column(1).to_pylist())
+            place = (n << (_BITS + _LEN_BITS)) | (at << _LEN_BITS) | np.minimum(length, (1 << _LEN_BITS) - 1)
+            reps = batch.column(0).take(pa.array(record))
+            yield pa.RecordBatch.from_arrays([pa.array(digest), reps, pa.array(place)], ["digest", "rep", "place"])
+
+    return records.select("rep", "words").mapInArrow(run, f"digest bigint, rep {id_type}, place bigint")
+
+
+def _words(place: Column) -> Column:
+    return F.shiftright(place, _BITS + _LEN_BITS)
+
+
+def _at(place: Column) -> Column:
+    return F.shiftright(place, _LEN_BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _length(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << _LEN_BITS) - 1))
+
+
+def within_edits(a: list[str], b: list[str], most: int) -> bool:
+    """Whether at most `most` words are added, dropped or replaced between a and b.
+
+    Equal ends are cut off, then the words in common bound the distance from below, then
+    one bit-parallel column a word gives it exactly."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    end = 0
+    while end < hi - lo and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[lo : len(a) - end], b[lo : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > most:
+        return False
+    places: dict[str, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    n = len(a)
+    mask, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = mask, 0, n
+    for k, w in enumerate(b):
+        same = places.get(w, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        rise = down | (mask & ~(across | up))
+        fall = up & across
+        if rise & top:
+            distance += 1
+        elif fall & top:
+            distance -= 1
+        rise = (rise << 1 | 1) & mask
+        fall = (fall << 1) & mask
+        diagonal = same | down
+        up = fall | (mask & ~(diagonal | rise))
+        down = rise & diagonal
+        if distance - (len(b) - 1 - k) > most:
+            return False
+    return distance <= most
+
+
+def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, held_out, words) with one row per wording and side, and the (held_out, rep, id) of
+    wordings with copies. Only ids and marks are shuffled, after partial aggregation."""
+    marks = records.select("id", "held_out", "mark")
+    folded = marks.groupBy("mark", "held_out").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = marks.join(folded.where("copies > 1").drop("copies"), ["mark", "held_out"]).select("held_out", "rep", "id")
+    others = members.where("id <> rep").select("id", "held_out").distinct()
+    reps = records.join(others, ["id", "held_out"], "left_anti")
+    return reps.select(F.col("id").alias("rep"), "held_out", "words"), members
+
+
+def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(train_id, held_out_id, overlap) of records (id, held_out, words): the pairs across the
+    two sides whose words are the same or differ in at most one word in `tolerance`."""
+    records = records.where("held_out IS NOT NULL AND words <> '' AND id IS NOT NULL")
+    records = written(records.select("id", "held_out", "words", F.md5("words").alias("mark")), "records")
+    reps, members = _representatives(records)
+    left = digests_of(reps.where("held_out")).select("digest", F.col("rep").alias("e"), F.col("place").alias("e_place"))
+    right = digests_of(reps.where("NOT held_out")).select("digest", F.col("rep").alias("t"), F.col("place").alias("t_place"))
+    e_n, t_n = _words(F.col("e_place")), _words(F.col("t_place"))
+    most = F.floor(F.greatest(e_n, t_n) / tolerance)
+    near = (F.abs(e_n - t_n) <= most) & (F.abs(_at(F.col("e_place")) - _at(F.col("t_place"))) <= most)
+    pairs = (
+        left.join(right, "digest")
+        .where(near)
+        .select("e", "t", _length(F.col("e_place")).alias("len"), F.greatest(e_n, t_n).alias("n"))
+        .groupBy("e", "t")
+        .agg((F.sum("len") / F.max("n")).alias("overlap"))
+        .where(F.col("overlap") >= OVERLAP)
+    )
+    train = reps.where("NOT held_out").select(F.col("rep").alias("t"), F.col("words").alias("t_words"))
+    tested = reps.where("held_out").select(F.col("rep").alias("e"), F.col("words").alias("e_words"))
+    compared = pairs.join(train, "t").join(tested, "e")
+
+    @F.pandas_udf("boolean")
+    def same(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        out = []
+        for x, y in zip(a, b):
+            x, y = x.split(" "), y.split(" ")
+            out.append(within_edits(x, y, max(len(x), len(y)) // tolerance))
+        return pd.Series(out, dtype=bool)
+
+    close = compared.where(same("e_words", "t_words")).select("e", "t", "overlap")
+    e_members = members.where("held_out").select(F.col("rep").alias("e"), F.col("id").alias("e_id"))
+    t_members = members.where("NOT held_out").select(F.col("rep").alias("t"), F.col("id").alias("t_id"))
+    return (
+        close.join(e_members, "e", "left")
+        .join(t_members, "t", "left")
+        .select(
+            F.coalesce("t_id", "t").alias("train_id"),
+            F.coalesce("e_id", "e").alias("held_out_id"),
+            F.least(F.col("overlap"), F.lit(1.0)).alias("overlap"),
+        )
+        .where("train_id <> held_out_id")
+    )
+
+
+def dialogue_records(dialogues: DataFrame) -> DataFrame:
+    """(id, held_out, words) of dialogues (sample_id, split, messages)."""
+    split = split_name(F.col("split"))
+    return dialogues.where(split.isNotNull()).select(
+        F.col("sample_id").alias("id"), (split != "train").alias("held_out"), dialogue_words(F.col("messages")).alias("words")
+    )
+
+
+def found(dialogues: DataFrame) -> DataFrame:
+    """(sample_id_a, sample_id_b): all cross-split pairs, the smaller id first."""
+    pairs = overlaps(dialogue_records(dialogues))
+    return pairs.select(
+        F.least("train_id", "held_out_id").alias("sample_id_a"), F.greatest("train_id", "held_out_id").alias("sample_id_b")
+    ).distinct()
+
+
+def report(dialogues: DataFrame, name: Column) -> DataFrame:
+    """(split, dataset, pairs, records): overlaps of each held-out split and dataset with the train split."""
+    pairs = overlaps(dialogue_records(dialogues)).select("train_id", "held_out_id").distinct()
+    about = dialogues.select(F.col("sample_id").alias("held_out_id"), split_name(F.col("split")).alias("split"), name.alias("dataset"))
+    return (
+        pairs.join(about, "held_out_id")
+        .groupBy("split", "dataset")
+        .agg(F.count("*").alias("pairs"), F.countDistinct("held_out_id").alias("records"))
+    )

@@ -1,0 +1,33 @@
+"""Queries of the corpus problems that need no language resources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondar.functions.text import source_name
+from sondar.operators import formats, overlap
+from sondar.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.found(table(spark, sf_dir, "wildguard_mix"), table(spark, sf_dir, "raw_records"))
+
+
+def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = formats.group_sizes(formats.wildguard_cells(table(spark, sf_dir, "wildguard_mix")))
+    r = formats.group_sizes(formats.json_cells(table(spark, sf_dir, "raw_records"), "raw_id", "payload"))
+    return w.withColumn("source_table", F.lit("wildguard_mix")).unionByName(r.withColumn("source_table", F.lit("raw_records")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "dialogues"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "dialogues"), source_name(F.col("dataset")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p5_found": p5_found, "p5_report": p5_report}
+
+ORACLES: dict[str, str] = {}
