@@ -8,11 +8,10 @@ import unicodedata
 #: White space, which separates words; every other control or format character is invisible inside a word.
 _BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
 _HYPHENS = "-\u2010\u2011\u00ad"
-_LINE_END_HYPHEN = re.compile(rf"(?<=\w)[{_HYPHENS}][ \t]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*(?=\w)")
+_LINE_END_HYPHEN = re.compile(rf"(?<=\w)[{_HYPHENS}][ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*(?=\w)")
 _ASCII_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
 _ASCII_WORD = re.compile(r"[a-z0-9]+").findall
 _WORD = re.compile(r"[^\W_]+").findall
-_NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
 class _Invisible(dict):
