@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondar.llm import bpe, leaks
+from sondar.llm import bpe, language, leaks
 from sondar.session import table
 
 
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lmsys = language.rows_of(table(spark, sf_dir, "lmsys_chat"), "lmsys_chat", "conversation_id", "conversation")
+    arena = language.rows_of(table(spark, sf_dir, "chatbot_arena"), "chatbot_arena", "question_id", "conversation_a")
+    return lmsys.unionByName(arena)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found(_chats(spark, sf_dir))
+
+
+def p1_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.dialogues(_chats(spark, sf_dir))
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(_chats(spark, sf_dir)).drop("named").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -16,5 +34,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_dialogues": p1_dialogues,
+    "p1_segments": p1_segments,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+}
 ORACLES: dict[str, str] = {}
