@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, split_name, squeeze_words
-from sondar.session import written
+from sondar.session import small, written
 
 #: One word in this many may differ.
 TOLERANCE = 10
@@ -196,8 +196,9 @@ def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = records.select("id", "held_out", "mark")
     folded = marks.groupBy("mark", "held_out").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = marks.join(folded.where("copies > 1").drop("copies"), ["mark", "held_out"]).select("held_out", "rep", "id")
-    others = members.where("id <> rep").select("id", "held_out").distinct()
-    reps = records.join(others, ["id", "held_out"], "left_anti")
+    members = written(members, "members")
+    others = members.where("id <> rep").select("id", "held_out")
+    reps = records.join(small(others), ["id", "held_out"], "left_anti")
     return reps.select(F.col("id").alias("rep"), "held_out", "words"), members
 
 
@@ -220,9 +221,14 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
         .agg((F.sum("len") / F.max("n")).alias("overlap"))
         .where(F.col("overlap") >= OVERLAP)
     )
-    train = reps.where("NOT held_out").select(F.col("rep").alias("t"), F.col("words").alias("t_words"))
-    tested = reps.where("held_out").select(F.col("rep").alias("e"), F.col("words").alias("e_words"))
-    compared = pairs.join(train, "t").join(tested, "e")
+    pairs = written(pairs, "pairs")
+
+    def words_of(side: str, condition: str) -> DataFrame:
+        """Words of the representatives in some pair."""
+        texts = reps.where(condition).select(F.col("rep").alias(side), F.col("words").alias(f"{side}_words"))
+        return texts.join(small(pairs.select(side).distinct()), side, "left_semi")
+
+    compared = pairs.join(words_of("t", "NOT held_out"), "t").join(words_of("e", "held_out"), "e")
 
     @F.pandas_udf("boolean")
     def same(a, b):  # noqa: ANN001, ANN202

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def get_session(app: str = "sondar", **conf: str) -> SparkSession:
@@ -58,6 +59,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Most bytes of a side that is broadcast after its rows were counted.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df marked for broadcast if its counted rows fit in BROADCAST_BYTES; else as it is, for a shuffled join."""
+    most = BROADCAST_BYTES // row_bytes
+    return broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
