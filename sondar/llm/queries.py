@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondar.llm import bpe, language, leaks
+from sondar.llm import bpe, language, leaks, reading
 from sondar.session import table
 
 
@@ -34,11 +34,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_dialogues": p1_dialogues,
     "p1_segments": p1_segments,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 ORACLES: dict[str, str] = {}

@@ -39,6 +39,13 @@ def _split(text: str, ascii_only: bool) -> list[str]:
     return _WORD(text)
 
 
+def fold(text: str) -> str:
+    """Lower case, without accents and invisible characters, words whole that a line end splits."""
+    if text.isascii():
+        return _LINE_END_HYPHEN.sub("", _ASCII_CONTROL.sub("", text)).lower()
+    return _LINE_END_HYPHEN.sub("", _plain(text)).replace("\u00ad", "").casefold()
+
+
 def word_streams(text: str | None) -> list[list[str]]:
     """The words of a text; where a line ends in a hyphen, one stream with the word
     whole and one with its two parts. [] for null."""
