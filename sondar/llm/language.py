@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,14 +39,14 @@ from sondar.llm.seeds import SEEDS
 SAMPLE_ROWS = 3_000
 SAMPLE_SENTENCES = 12
 SAMPLE_CHARS = 400
-DICTIONARY_BYTES = 12_000
+DICTIONARY_BYTES = 16_000
 MIN_WORDS = 4
 MIN_HAN = 8
 #: Least margin to the next language, in bytes and as a share of its size.
 MARGIN_BYTES = 2
 MARGIN_SHARE = 0.05
 #: Most a sentence may keep of the size it has without any dictionary.
-KEPT_SHARE = 0.92
+KEPT_SHARE = 0.97
 #: Longer stretches without an end of sentence are classified in pieces of this many characters.
 PIECE = 4_000
 
@@ -55,16 +55,23 @@ LATIN = ("en", "es", "pt", "fr", "de")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`|(?:https?://|www\.)\S+|\S+@\S+\.\w+|\[[A-Za-z_ ]{1,20}\]|<[^<>\n]{1,80}>")
 _ITEM = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:[-*+•–—]|\d{1,3}[.)]|#{1,6}|>|\|)[ \t]*|(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*|[|\t]{1,}(?=\s*\|)")
-_END = re.compile(r"(?<=[.!?…][\"”»')\]])\s+|(?<=[.!?…])\s+|(?<=[。！？])|(?<=[:;])\s*(?=\n)")
+_END = re.compile(r"[.!?…]+[\"”»’')\]]*(?:\s+|$)|[。！？]+|[:;]\s*\n")
 _CODE = re.compile(r"[{}=;<>\\]|\w\(|\)\s*:|\bSELECT\b|\breturn\b.*[+\[]")
+_MAYBE_CODE = re.compile(r"[{}=;<>\\(]|SELECT|return").search
+_SPECIAL = re.compile(r"[`\[<@~]|://|www\.").search
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SPACES = re.compile(r"\s+")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _KANA = re.compile(r"[぀-ヿ가-힯]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+#: Letters of other languages in Cyrillic.
+_NOT_RUSSIAN = re.compile(r"[іїєґўјљњћђџѓќѕ]", re.I)
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 
+#: Eight plain words in a row.
+_LONG = re.compile(r"(?:[A-Za-z]+,? ){7}[A-Za-z]+").search
+
+
 class _Plain(dict):
     def __missing__(self, code: int):
         kind = unicodedata.category(chr(code))
@@ -79,20 +86,25 @@ def plain(sentence: str) -> str:
     """Lower case, without accents or invisible characters, single blanks."""
     if not sentence.isascii():
         sentence = unicodedata.normalize("NFKD", sentence).translate(_PLAIN)
-    return _SPACES.sub(" ", sentence.lower()).strip(" -*#>|\"'“”«»()[]")
+    return " ".join(sentence.lower().split()).strip(" -*#>|\"'“”«»()[]")
 
 
 def sentences(content: str | None) -> list[str]:
     """The natural-language sentences of a message, in order, without code and links."""
     if not content:
         return []
-    text = _INLINE.sub(" ", _FENCE.sub("\n\n", content)) if ("`" in content or "[" in content or "<" in content or "/" in content or "@" in content or "~" in content or "www" in content) else content
+    text = _INLINE.sub(" ", _FENCE.sub("\n\n", content)) if _SPECIAL(content) else content
+    blocks = _ITEM.split("\n" + text) if "\n" in text or "\r" in text or "|" in text or text[:1] in "-*+#>•" else [text]
     out = []
-    for block in _ITEM.split("\n" + text):
+    for block in blocks:
         if not block or block.isspace():
             continue
         for s in _END.split(block):
-            if s and not (_CODE.search(s) and len(_TOKEN.findall(s)) < 8 and not _HAN.search(s)):
+            if not s or (_MAYBE_CODE(s) and _CODE.search(s) and len(_TOKEN.findall(s)) < 8 and not _HAN.search(s)):
+                continue
+            if len(s) <= PIECE:
+                out.append(s)
+            else:
                 out.extend(s[i : i + PIECE] for i in range(0, len(s), PIECE))
     return out
 
@@ -100,6 +112,8 @@ def sentences(content: str | None) -> list[str]:
 def script(sentence: str) -> tuple[str, int] | None:
     """(script, words) of a sentence long enough to be one; None otherwise."""
     if sentence.isascii():
+        if _LONG(sentence):
+            return "latin", 8
         n = len(_TOKEN.findall(sentence))
         return ("latin", n) if n >= MIN_WORDS else None
     han = len(_HAN.findall(sentence))
@@ -110,12 +124,11 @@ def script(sentence: str) -> tuple[str, int] | None:
         return None
     cyrillic, latin = len(_CYRILLIC.findall(sentence)), len(_LATIN.findall(sentence))
     if cyrillic > latin:
-        return "cyrillic", n
+        return None if _NOT_RUSSIAN.search(sentence) else ("cyrillic", n)
     return ("latin", n) if latin * 2 > sum(map(str.isalpha, sentence)) else None
 
 
 CANDIDATES = {"latin": LATIN, "cyrillic": ("ru",), "han": ("zh",)}
-SCRIPTS = {code: tuple(s for s, codes in CANDIDATES.items() if code in codes) for code in SEEDS}
 
 
 class Classifier:
@@ -128,6 +141,7 @@ class Classifier:
             parameters = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(data), **settings)
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.sized[code] = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress
+        self.by_script = {s: [(c, self.sized[c]) for c in codes if c in self.sized] for s, codes in CANDIDATES.items()}
         self.bare = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, **settings)).compress
 
     def classify(self, sentence: str) -> tuple[str, float] | None:
@@ -136,12 +150,15 @@ class Classifier:
         if kind is None:
             return None
         data = plain(sentence).encode()
-        sizes = sorted((len(self.sized[code](data)), code) for code in CANDIDATES[kind[0]])
+        sizes = [(len(encode(data)), code) for code, encode in self.by_script[kind[0]]]
+        sizes.sort()
         best, code = sizes[0]
-        alone = len(self.bare(data))
-        if best > KEPT_SHARE * alone:
+        if len(sizes) == 1:  # the script alone tells; the dictionary says how surely
+            alone = len(self.bare(data))
+            return code, round(min(1.0, max(0.5, 2.5 * (alone - best) / alone)), 4)
+        if best * 2 > len(data) and best > KEPT_SHARE * len(self.bare(data)):
             return None
-        rival = sizes[1][0] if len(sizes) > 1 else alone
+        rival = sizes[1][0]
         if rival - best < max(MARGIN_BYTES, MARGIN_SHARE * rival):
             return None
         return code, round(min(1.0, 2.5 * (rival - best) / rival), 4)
@@ -169,13 +186,24 @@ def seed_dictionaries() -> dict[str, bytes]:
 
 #: A labelled row teaches its language if more than half of its sentences are found to be in it.
 #: Of them, those found with at least the first confidence count; in the last round also those
-#: that are rejected, or found in another language with less than the second.
+#: that are rejected, or found in another language with less than the second, if their opening
+#: words are relatively most frequent in rows of this label.
 ROUNDS = ((0.25, 0.0), (0.15, 0.0), (0.0, 0.4))
 
 
+def _opening(sentence: str) -> str:
+    return " ".join(plain(sentence).split(" ")[:2])
+
+
 def refine(labelled: list[tuple[str, list[str]]]) -> dict[str, bytes]:
     """Dictionaries from (code, sentences) of labelled rows; their sentences go in by hash order,
     in the last round those that the dictionary before saves least on take half of the room."""
+    rows = Counter(code for code, _ in labelled)
+    openings: dict[str, Counter] = defaultdict(Counter)
+    for code, own in labelled:
+        for key in {_opening(s) for s in own}:
+            openings[key][code] += 1
+    typical = {key: max(c, key=lambda code: (c[code] / rows[code], code)) for key, c in openings.items() if c.total() > 1}
     dictionaries = seed_dictionaries()
     for sure, doubt in ROUNDS:
         classifier = Classifier(dictionaries)
@@ -185,7 +213,7 @@ def refine(labelled: list[tuple[str, list[str]]]) -> dict[str, bytes]:
             if sum(g is not None and g[0] == code for _, g in got) * 2 > len(got):
                 for s, g in got:
                     own_language = g is not None and g[0] == code and g[1] >= sure
-                    doubtful = doubt > 0 and (g is None or g[1] < doubt) and script(s)[0] in SCRIPTS[code]
+                    doubtful = doubt > 0 and (g is None or g[1] < doubt) and typical.get(_opening(s)) == code
                     if own_language or doubtful:
                         data = plain(s)
                         agreed[code].setdefault(data, len(classifier.sized[code](data.encode())) / len(data.encode()))
