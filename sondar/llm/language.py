@@ -109,6 +109,11 @@ def sentences(content: str | None) -> list[str]:
     return out
 
 
+def running(content: str) -> str:
+    """A whole message without code and links, for its main language."""
+    return _INLINE.sub(" ", _FENCE.sub(" ", content)) if _SPECIAL(content) else content
+
+
 def script(sentence: str) -> tuple[str, int] | None:
     """(script, words) of a sentence long enough to be one; None otherwise."""
     if sentence.isascii():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondar.llm import bpe, language, leaks, reading
+from sondar.llm import bpe, language, leaks, pairs, reading
 from sondar.session import table
 
 
@@ -26,6 +26,10 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(_chats(spark, sf_dir)).drop("named").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.found(table(spark, sf_dir, "dialogues"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,6 +50,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_dialogues": p1_dialogues,
     "p1_segments": p1_segments,
+    "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
