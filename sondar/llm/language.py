@@ -71,6 +71,9 @@ _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 #: Eight plain words in a row.
 _LONG = re.compile(r"(?:[A-Za-z]+,? ){7}[A-Za-z]+").search
 
+_LONG_LATIN = re.compile(r"(?:[A-Za-zÀ-ɏ]+,? ){7}[A-Za-zÀ-ɏ]+").search
+_LONG_CYRILLIC = re.compile(r"(?:[Ѐ-ӿ]+,? ){4}[Ѐ-ӿ]+").search
+
 
 class _Plain(dict):
     def __missing__(self, code: int):
@@ -121,6 +124,10 @@ def script(sentence: str) -> tuple[str, int] | None:
             return "latin", 8
         n = len(_TOKEN.findall(sentence))
         return ("latin", n) if n >= MIN_WORDS else None
+    if _LONG_LATIN(sentence) and not _HAN.search(sentence) and not _CYRILLIC.search(sentence):
+        return "latin", 8
+    if _LONG_CYRILLIC(sentence) and not _HAN.search(sentence) and not _NOT_RUSSIAN.search(sentence) and not _LATIN.search(sentence):
+        return "cyrillic", 5
     han = len(_HAN.findall(sentence))
     if han >= MIN_HAN and han * 2 > len(_LATIN.findall(sentence)):
         return None if _KANA.search(sentence) else ("han", han)
