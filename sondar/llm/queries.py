@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sondar.llm import bpe, language, leaks, pairs, reading
+from sondar.llm import bpe, budget, language, leaks, pairs, reading
 from sondar.session import table
 
 
@@ -26,6 +27,26 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(_chats(spark, sf_dir)).drop("named").distinct()
 
 
+def p2_token_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.totals(budget.update(budget.corpus(spark, sf_dir)).cube)
+
+
+def p2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.update(budget.corpus(spark, sf_dir)).records.select(*budget.RECORD, "tokens")
+
+
+def p2_signed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube after a second snapshot: records that came before 2025 first, then those that came since July 2024."""
+    corpus = budget.corpus(spark, sf_dir)
+    first = budget.update(corpus.where(F.col("came") < F.lit("2025-01-01").cast("timestamp"))).kept()
+    return budget.totals(budget.update(corpus.where(F.col("came") >= F.lit("2024-07-01").cast("timestamp")), first).cube)
+
+
+def p2_earlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = budget.update(budget.corpus(spark, sf_dir)).records
+    return budget.compared(records, table(spark, sf_dir, "token_batches"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.found(table(spark, sf_dir, "dialogues"))
 
@@ -50,6 +71,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_dialogues": p1_dialogues,
     "p1_segments": p1_segments,
+    "p2_token_cube": p2_token_cube,
+    "p2_token_counts": p2_token_counts,
+    "p2_signed_deltas": p2_signed_deltas,
+    "p2_earlier_runs": p2_earlier_runs,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
