@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sondar.plans import corpus
+from sondar.plans import corpus, evaluation
 
-QUERIES: dict = {**corpus.QUERIES}
-ORACLES: dict = {**corpus.ORACLES}
+_PARTS = (evaluation, corpus)
+
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
