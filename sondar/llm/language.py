@@ -47,6 +47,8 @@ MARGIN_BYTES = 2
 MARGIN_SHARE = 0.05
 #: Most a sentence may keep of the size it has without any dictionary.
 KEPT_SHARE = 0.97
+#: A whole message that a dictionary takes down to this share is in its language.
+DECISIVE_SHARE = 0.33
 #: Longer stretches without an end of sentence are classified in pieces of this many characters.
 PIECE = 4_000
 
@@ -175,6 +177,33 @@ class Classifier:
             return None
         return code, round(min(1.0, 2.5 * (rival - best) / rival), 4)
 
+    def main(self, content: str) -> str | None:
+        """The language of a whole message without code and links; None if it is none or the margin is narrow.
+
+        The dictionaries are tried from the last one that matched on; one that takes the text
+        down to DECISIVE_SHARE decides alone, as no other language's comes near that."""
+        text = running(content)
+        kind = script(text)
+        if kind is None:
+            return None
+        order = self.by_script[kind[0]]
+        if len(order) == 1:
+            return order[0][0]
+        data = plain(text).encode()
+        least, sizes = DECISIVE_SHARE * len(data), []
+        for place, (code, encode) in enumerate(order):
+            size = len(encode(data))
+            if size <= least:
+                if place:
+                    order.insert(0, order.pop(place))
+                return code
+            sizes.append((size, code))
+        sizes.sort()
+        (best, code), (rival, _) = sizes[:2]
+        if best * 2 > len(data) and best > KEPT_SHARE * len(self.bare(data)):
+            return None
+        return None if rival - best < max(MARGIN_BYTES, MARGIN_SHARE * rival) else code
+
     def message(self, content: str | None) -> list[tuple[str, float, int]]:
         """(language, confidence, sentences) of each segment of a message: neighbouring sentences
         of one language, the rejected ones between them left to the segment before."""
