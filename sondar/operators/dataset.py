@@ -103,7 +103,7 @@ def split(df: DataFrame, frac: float = 0.8, stratified: bool = False, seed: int
     classed = df.withColumn("_class", (F.col("label") == 1).cast("int")) if stratified else df
     sizes = classed.groupBy(*by).agg(F.floor(F.count("*") * F.lit(frac)).alias("_k"))
     placed = ranked(classed, seed, by, id_col)
-    joined = placed.join(F.broadcast(sizes), by) if by else placed.join(F.broadcast(sizes))  # one row or two
+    joined = placed.join(F.broadcast(sizes), by) if by else placed.withColumn("_k", sizes.scalar())  # two rows or one
     return joined.withColumn("part", F.when(F.col("rank") <= F.col("_k"), "train").otherwise("test")).drop("_class", "_k", "rank")
 
 

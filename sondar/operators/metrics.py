@@ -335,6 +335,6 @@ def bootstrap(scores: DataFrame, metric: Column, n: int = 1000, confidence: floa
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
     bounds = values.agg(F.count("*").alias("valid"), F.percentile("value", F.lit(low)).alias("lower"), F.percentile("value", F.lit(high)).alias("upper"))
     enough = F.col("valid") >= n / 2
-    point = evaluate(scores, point=metric)
+    point = evaluate(scores, point=metric).scalar()
     nan = F.lit(NAN)
-    return point.join(bounds).select("point", F.when(enough, F.col("lower")).otherwise(nan).alias("lower"), F.when(enough, F.col("upper")).otherwise(nan).alias("upper"), "valid")
+    return bounds.select(point.alias("point"), F.when(enough, F.col("lower")).otherwise(nan).alias("lower"), F.when(enough, F.col("upper")).otherwise(nan).alias("upper"), "valid")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondar.plans import corpus, datasets, evaluation
+from sondar.plans import corpus, datasets, evaluation, sequences
 
-_PARTS = (evaluation, datasets, corpus)
+_PARTS = (evaluation, datasets, sequences, corpus)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
