@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondar.plans import corpus, datasets, evaluation, sequences, tokenized
+from sondar.plans import corpus, datasets, evaluation, probing, sequences, tokenized
 
-_PARTS = (evaluation, datasets, sequences, tokenized, corpus)
+_PARTS = (probing, evaluation, datasets, sequences, tokenized, corpus)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

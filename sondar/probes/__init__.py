@@ -1 +1,6 @@
+"""Probes: classifiers of activations, with distributed fitting where the model allows it."""
 
+from sondar.probes.linear import Logistic, MassMean, standardisation
+from sondar.probes.neural import NeuralProbe, sweep
+
+__all__ = ["Logistic", "MassMean", "NeuralProbe", "standardisation", "sweep"]
