@@ -24,16 +24,20 @@ def normalize_role(role: Column) -> Column:
     return F.coalesce(F.try_element_at(aliases, low), low)
 
 
-def letters_digits(text: Column) -> Column:
-    """Letters and digits of a string, in order, with case aside (null stays null).
+def fold_case(text: Column) -> Column:
+    """Case aside: upper, then lower, so that the sharp s equals its capital spelling. The replacement
+    between them also keeps the optimizer from dropping the inner call."""
+    return F.lower(F.replace(F.upper(text), F.lit("\u1e9e"), F.lit("SS")))
+
 
-    upper-then-lower folds pairs such as the sharp s and its capital spelling."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")))
+def letters_digits(text: Column) -> Column:
+    """Letters and digits of a string, in order, with case aside (null stays null)."""
+    return fold_case(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", ""))
 
 
 def squeeze_words(text: Column) -> Column:
     """Words (runs of letters and digits) in lower case, joined by one blank."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{M}\p{Nd}]+", " "))
+    return F.trim(F.regexp_replace(fold_case(text), r"[^\p{L}\p{M}\p{Nd}]+", " "))
 
 
 def strip_all(text: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ("sample_id",)
+#: Where the summarizer starts from; a maximum that stays there has seen nothing but negative infinity.
+LOWEST = -1.7976931348623157e308
 
 
 def _doubles(vec: str | Column = "vec") -> Column:
@@ -48,7 +50,7 @@ def maximum(tokens: DataFrame, spine: DataFrame, keys: Sequence[str] = KEY) -> D
     plain = F.transform("a", lambda x: F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x))
     folded = detected.select(*keys, array_to_vector(plain).alias("v"), array_to_vector(has_nan).alias("m"))
     both = folded.groupBy(*keys).agg(vector_to_array(Summarizer.max(F.col("v"))).alias("v"), vector_to_array(Summarizer.max(F.col("m"))).alias("m"))
-    value = F.zip_with("v", "m", lambda v, m: F.when(m > 0, F.lit(float("nan"))).when(v == float("-inf"), 0.0).otherwise(v))
+    value = F.zip_with("v", "m", lambda v, m: F.when(m > 0, F.lit(float("nan"))).when(v <= LOWEST, 0.0).otherwise(v))
     return filled(both.select(*keys, value.alias("vec")), tokens, spine, keys)
 
 
