@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondar.functions.text import letters_digits, strip_all
+from sondar.session import spread
 
 CELLS = "id bigint, at int, field string, kind string, value string"
 
@@ -91,7 +92,7 @@ def json_cells(records: DataFrame, id_col: str, payload_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["id", "at", "field", "kind", "value"])
 
     picked = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).cast("string").alias("payload"))
-    return picked.where("id IS NOT NULL AND payload IS NOT NULL").mapInArrow(run, CELLS)
+    return spread(picked.where("id IS NOT NULL AND payload IS NOT NULL")).mapInArrow(run, CELLS)
 
 
 def column_cells(records: DataFrame, id_col: str, **columns) -> DataFrame:  # noqa: ANN003

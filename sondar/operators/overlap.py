@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, split_name, squeeze_words
-from sondar.session import small, written
+from sondar.session import small, spread, written
 
 #: One word in this many may differ.
 TOLERANCE = 10
@@ -258,7 +258,7 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 def dialogue_records(dialogues: DataFrame) -> DataFrame:
     """(id, held_out, words) of dialogues (sample_id, split, messages)."""
     split = split_name(F.col("split"))
-    return dialogues.where(split.isNotNull()).select(
+    return spread(dialogues.select("sample_id", "split", "messages")).where(split.isNotNull()).select(
         F.col("sample_id").alias("id"), (split != "train").alias("held_out"), dialogue_words(F.col("messages")).alias("words")
     )
 

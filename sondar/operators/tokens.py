@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, strip_all
+from sondar.session import spread
 
 ROLE_IDS = {"system": 0, "user": 1, "assistant": 2}
 TOKEN = "token_id bigint, token string, char_start int, char_end int, msg_idx int, role_id tinyint"
@@ -191,7 +192,7 @@ def tokenize(samples: DataFrame, encode: Callable[[str], Encoding] = lossless) -
             columns = [pa.array(c, t) for c, t in zip(rows[1:], types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *columns], names)
 
-    return samples.select("sample_id", "text", "spans").mapInArrow(run, f"sample_id {id_type}, pos int, {TOKEN}")
+    return spread(samples.select("sample_id", "text", "spans")).mapInArrow(run, f"sample_id {id_type}, pos int, {TOKEN}")
 
 
 def with_padded_roles(tokens: DataFrame, padding: tuple[int, int], bos_ids: Sequence[int] = BOS_IDS) -> DataFrame:
