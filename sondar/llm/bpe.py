@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondar.session import spread
+
 TOKENIZER_DIR = os.environ.get("SONDAR_TOKENIZERS", "/opt/tokenizers")
 
 #: Fixed value: the public pre-token pattern of the 50k byte-level vocabularies.
@@ -235,5 +237,5 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, path: str | None =
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
-    picked = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    picked = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     return picked.mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sondar.functions.text import language_code, source_name
 from sondar.llm import bpe
-from sondar.session import small, table, written
+from sondar.session import small, spread, table, written
 
 CELL = ["source_table", "source", "language", "domain"]
 RECORD = ["source_table", "record_id"]
@@ -118,7 +118,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot of documents, dialogues and lmsys_chat, each record once, with the time it came."""
     topics = table(spark, sf_dir, "source_registry").select(source_name(F.col("dataset")).alias("source"), _domain("topic").alias("domain"))
     topics = F.broadcast(topics.groupBy("source").agg(F.min("domain").alias("domain")))  # fixed: one row per registered source
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("source_table"),
         F.col("doc_id").cast("string").alias("record_id"),
         source_name(F.col("source")).alias("source"),
@@ -127,7 +127,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"),
         F.col("crawled_at").alias("came"),
     )
-    dialogues = table(spark, sf_dir, "dialogues").select(
+    dialogues = spread(table(spark, sf_dir, "dialogues")).select(
         F.lit("dialogues").alias("source_table"),
         F.col("sample_id").cast("string").alias("record_id"),
         source_name(F.col("dataset")).alias("source"),

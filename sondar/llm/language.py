@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sondar.functions.text import language_code
 from sondar.llm.seeds import SEEDS
+from sondar.session import spread
 
 #: Labelled rows the dictionaries are refined on, and sentences taken of one of them.
 SAMPLE_ROWS = 3_000
@@ -306,7 +307,8 @@ def dictionaries_of(rows: DataFrame) -> dict[str, bytes]:
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.where("record_id IS NOT NULL").select(
+    kept = spread(rows.where("record_id IS NOT NULL").select("source_table", "record_id", "named", "messages"))
+    return kept.select(
         "source_table", "record_id", "named", F.posexplode("messages").alias("msg_idx", "m")
     ).select("source_table", "record_id", "named", "msg_idx", F.col("m.content").alias("content"))
 

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.llm.words import fold
+from sondar.session import spread
 
 BANDS = ("basic", "intermediate", "advanced")
 SHARE = 0.6
@@ -149,7 +150,7 @@ def measured(texts: DataFrame, id_col: str, ranks: dict[str, dict[str, int]], ke
                 [batch.column(i).take(pick) for i in range(len(held))] + [pa.array(c, t) for c, t in zip(columns, types)], held + _NAMES
             )
 
-    return texts.select(*held, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(texts.select(*held, F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def calibration(graded_features: DataFrame) -> Column:
