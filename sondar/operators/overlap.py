@@ -48,6 +48,9 @@ SHORT = 3 * STRETCH
 #: Least overlap fraction of a pair that is compared word by word.
 OVERLAP = 0.1
 
+#: Ratio of neighbouring classes of length; a record meets two or three of them.
+CLASS_RATIO = 1.25
+
 _MEMO = 500_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _B_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -147,6 +150,10 @@ def _length(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << _LEN_BITS) - 1))
 
 
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(CLASS_RATIO, n.cast("double"))).cast("int")
+
+
 def within_edits(a: list[str], b: list[str], most: int) -> bool:
     """Whether at most `most` words are added, dropped or replaced between a and b.
 
@@ -211,10 +218,15 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     left = digests_of(reps.where("held_out")).select("digest", F.col("rep").alias("e"), F.col("place").alias("e_place"))
     right = digests_of(reps.where("NOT held_out")).select("digest", F.col("rep").alias("t"), F.col("place").alias("t_place"))
     e_n, t_n = _words(F.col("e_place")), _words(F.col("t_place"))
+    # Records of a pair are about as long as each other. With the class of length in the key, a digest that very
+    # many records share falls apart by length, and pairs of too different lengths are never formed.
+    least, longest = e_n - F.floor(e_n / tolerance), F.ceil(e_n * tolerance / (tolerance - 1)) + 1
+    left = left.withColumn("length", F.explode(F.sequence(_length_class(least), _length_class(longest))))
+    right = right.withColumn("length", _length_class(t_n))
     most = F.floor(F.greatest(e_n, t_n) / tolerance)
     near = (F.abs(e_n - t_n) <= most) & (F.abs(_at(F.col("e_place")) - _at(F.col("t_place"))) <= most)
     pairs = (
-        left.join(right, "digest")
+        left.join(right, ["digest", "length"])
         .where(near)
         .select("e", "t", _length(F.col("e_place")).alias("len"), F.greatest(e_n, t_n).alias("n"))
         .groupBy("e", "t")

@@ -14,10 +14,10 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sondar.probes import training
 from sondar.probes.models import MODELS, Model, Params
+from sondar.session import drawn
 
 MAX_ROWS = 100_000
 
@@ -27,7 +27,7 @@ class NotFittedError(RuntimeError):
 
 
 def _bounded(df: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    return drawn(df, id_col, max_rows)
 
 
 def collected(df: DataFrame, model: Model, max_rows: int = MAX_ROWS):  # noqa: ANN201

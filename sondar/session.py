@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 
@@ -33,16 +34,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return held or tempfile.mkdtemp(prefix="sondar-checkpoint-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder, so that lost executors
-    cost at most the stages after it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a compressed table in the shared folder and read again: cuts lineage,
     survives lost executors, and lets every reader prune its columns. Removed at exit."""
@@ -73,13 +64,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drawn(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """n rows of df, those of the smallest hashes of their ids. Rows are counted first, so that a threshold on the
+    hash leaves hardly more than n of them before they are ordered, however many partitions there are."""
+    total = df.count()
+    rank = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    if total > n:
+        df = df.where(rank < int((1 << 40) * min(1.0, (1.2 * n + 100) / total)))
+    return df.orderBy(rank, id_col).limit(n)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for a Python stage over a table of fewer file splits than cores. Tables with
     enough splits (all large ones) are left as they are. Only for narrow plans over a scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Target number of tasks for a stage that expands its input."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
