@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sondar.functions.text import language_code
 from sondar.llm.seeds import SEEDS
-from sondar.session import spread
+from sondar.session import drawn, spread
 
 #: Labelled rows the dictionaries are refined on, and sentences taken of one of them.
 SAMPLE_ROWS = 3_000
@@ -292,13 +292,8 @@ def rows_of(table: DataFrame, source: str, id_col: str, messages: str) -> DataFr
 def dictionaries_of(rows: DataFrame) -> dict[str, bytes]:
     """Refined on a bounded sample of the rows whose label names a language."""
     text = F.transform(F.slice("messages", 1, 4), lambda m: F.substring(m["content"], 1, SAMPLE_CHARS * 2))
-    picked = (
-        rows.where("named IS NOT NULL AND record_id IS NOT NULL AND messages IS NOT NULL")
-        .select("named", text.alias("texts"), F.xxhash64("record_id").alias("rank"), "record_id")
-        .orderBy("rank", "record_id")
-        .limit(SAMPLE_ROWS)
-        .select("named", "texts")
-    )
+    usable = rows.where("named IS NOT NULL AND record_id IS NOT NULL AND messages IS NOT NULL")
+    picked = drawn(usable.select("record_id", "named", text.alias("texts")), "record_id", SAMPLE_ROWS).select("named", "texts")
     labelled = []
     for row in picked.collect():
         own = [s[:SAMPLE_CHARS] for t in row.texts for s in sentences(t)]
