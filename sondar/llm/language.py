@@ -40,7 +40,7 @@ from sondar.session import drawn, spread
 SAMPLE_ROWS = 3_000
 SAMPLE_SENTENCES = 12
 SAMPLE_CHARS = 400
-DICTIONARY_BYTES = 16_000
+DICTIONARY_BYTES = 24_000
 MIN_WORDS = 4
 MIN_HAN = 8
 #: Least margin to the next language, in bytes and as a share of its size.

@@ -42,8 +42,13 @@ def _split(text: str, ascii_only: bool) -> list[str]:
 def fold(text: str) -> str:
     """Lower case, without accents and invisible characters, words whole that a line end splits."""
     if text.isascii():
+        if text.isprintable():  # without line ends and control characters
+            return text.lower()
         return _LINE_END_HYPHEN.sub("", _ASCII_CONTROL.sub("", text)).lower()
-    return _LINE_END_HYPHEN.sub("", _plain(text)).replace("\u00ad", "").casefold()
+    text = _plain(text)
+    if "\n" in text or "\r" in text or not text.isprintable():
+        text = _LINE_END_HYPHEN.sub("", text)
+    return text.replace("\u00ad", "").casefold()
 
 
 def word_streams(text: str | None) -> list[list[str]]:
