@@ -118,6 +118,12 @@ class NeuralProbe:
         return cls(**json.loads(str(held["__meta__"])), params=params)
 
 
+def scattered(scored: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Token scores beside all tokens: 0 where a token isn't detected, as (sample_id, pos, logit, score)."""
+    held = tokens.select("sample_id", "pos").join(scored.select("sample_id", "pos", "logit", "score"), ["sample_id", "pos"], "left")
+    return held.na.fill(0.0, ["logit", "score"])
+
+
 def sweep(df: DataFrame, name: str, configs: Sequence[dict], max_rows: int = MAX_ROWS, seed: int = 0) -> list[NeuralProbe]:
     """One fitted probe per set of options, each trained in a task of its own on the same bounded, broadcast set."""
     spark = df.sparkSession

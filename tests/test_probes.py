@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sondar.probes import Logistic, MassMean, NeuralProbe, sweep
+from sondar.probes import Logistic, MassMean, NeuralProbe, scattered, sweep
 from sondar.probes import tape as t
 from sondar.probes import training
 from sondar.probes.linear import LinearModel
@@ -105,3 +105,11 @@ def test_scoring_and_sweep_on_spark(spark):
     assert [p.params["w1"].shape for p in probes] == [(5, 4), (5, 6)]
     got = {r.sample_id: r.logit for r in probes[0].transform(df).collect()}
     assert np.allclose([got[i] for i in range(len(x))], probes[0].logits(x))
+
+
+def test_token_scores_are_zero_where_undetected(spark):
+    rows = [(s, p, p != 1, s % 2, [float(p + s), 1.0]) for s in range(8) for p in range(3)]
+    tokens = spark.createDataFrame(rows, "sample_id bigint, pos int, det boolean, label int, vec array<double>")
+    probe = NeuralProbe("MLP", {"hidden": 3, "n_epochs": 2}).fit(tokens)
+    got = scattered(probe.transform(tokens), tokens).collect()
+    assert len(got) == 24 and all((r.score == 0) == (r.pos == 1) for r in got)
