@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +62,26 @@ def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that they find it
+    wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sondar-")) / "sondar.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as held:
+        for file in sorted(root.rglob("*.py")):
+            held.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
