@@ -1,10 +1,11 @@
 """Records of evaluation splits that also stand in the train split (problem 5).
 
-Content-defined chunks: a rolling hash over two words cuts every normalised record at
-positions that depend on its words alone. From each cut on, the chunks up to a least
-number of words give one digest. Digests are joined across the splits; the lengths of
-shared stretches add up to an overlap fraction of a pair. Pairs of enough overlap are
-then held against their words exactly.
+Pieces with a guarantee: a pair of n and m words differs in at most k = max(n, m) // 10
+words. Cut into at least k + 1 pieces, a record has a piece i that no edit touches, with
+exactly i edits before it (the first place where fewer edits than pieces have gone by), so
+the other record holds that piece whole, at most i words away from its place. The train side
+gives its pieces, the held-out side every stretch of a piece's length; each pair within the
+tolerance meets, at any length. Pairs that meet are then held against their words exactly.
 
     records -> words (native), written once -> one representative per wording and side
             -> digests (Arrow, narrow) -> join on digest, with length and position
@@ -22,7 +23,7 @@ Defined results
     repeated rows                   -> distinct pairs
     empty tables                    -> empty result
     extra columns                   -> ignored
-    texts of any length             -> chunked and compared whole
+    texts of any length             -> cut into pieces and compared whole
 """
 
 from __future__ import annotations
@@ -41,15 +42,8 @@ from sondar.session import small, spread, written
 
 #: One word in this many may differ.
 TOLERANCE = 10
-#: Mean chunk and least stretch in words; the second line is for records below SHORT words.
-CHUNK, STRETCH = 6, 12
-CHUNK_SHORT, STRETCH_SHORT = 2, 5
-SHORT = 3 * STRETCH
-#: Least overlap fraction of a pair that is compared word by word.
-OVERLAP = 0.1
-
-#: Ratio of neighbouring classes of length; a record meets two or three of them.
-CLASS_RATIO = 1.25
+#: Ratio of neighbouring classes of length; a record meets one or two of them.
+CLASS_RATIO = 1.5
 
 _MEMO = 500_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,10 +56,23 @@ def dialogue_words(messages: Column) -> Column:
     return squeeze_words(F.array_join(F.transform(kept, lambda m: m["content"]), " "))
 
 
-class Chunker:
+def pieces(n: np.ndarray, tolerance: int) -> np.ndarray:
+    """How many pieces a record of n words is cut into: one more than the words in which it may differ from its
+    longest partner, which has n * tolerance // (tolerance - 1) words."""
+    return n // (tolerance - 1) + 1
+
+
+def _class_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS_RATIO)).astype(np.int64)
+
+
+class Cutter:
     """Digests of stretches of words, for many records at once."""
 
-    def __init__(self) -> None:
+    def __init__(self, tolerance: int = TOLERANCE) -> None:
+        if tolerance < 3:
+            raise ValueError("tolerance must be at least 3")
+        self.tolerance = tolerance
         self.memo: dict[str, int] = {}
 
     def hashes(self, words: list[str]) -> np.ndarray:
@@ -76,66 +83,85 @@ class Chunker:
             memo[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
-    def digests(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """(record, digest, position, length of the stretch, words of the record)."""
+    def _cut(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(record, position, length, length class) of every piece, once for each class that a partner can have."""
+        count = pieces(sizes, self.tolerance)
+        record = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+        length = (sizes // count)[record]
+        first, last = _class_of(sizes - sizes // self.tolerance)[record], _class_of(sizes * self.tolerance // (self.tolerance - 1))[record]
+        for k in range(int((last - first).max(initial=-1)) + 1):
+            has = first + k <= last
+            yield record[has], (number * length)[has], length[has], first[has] + k
+
+    def _slide(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(record, position, length, length class) of every stretch that can be the untouched piece of a partner."""
+        shortest, longest = sizes - sizes // self.tolerance, sizes * self.tolerance // (self.tolerance - 1)
+        n = np.arange(int(longest.max(initial=0)) + 1)
+        of = n // pieces(n, self.tolerance)
+        for length in np.unique(of[1:]):
+            held = np.concatenate([[0], np.cumsum(of == length)])
+            those = np.flatnonzero((held[longest + 1] > held[shortest]) & (sizes >= length))
+            count = sizes[those] - length + 1
+            record = np.repeat(those, count)
+            at = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+            number = -(-at // (length + 1))
+            near = number * (length - 1) <= at  # at most `number` words from the place of piece `number`
+            record, at = record[near], at[near]
+            yield record, at, np.full(len(at), length), _class_of(sizes)[record]
+
+    def digests(self, texts: list[str], cut: bool) -> tuple[np.ndarray, ...]:
+        """(record, digest, position, length of the stretch, words of the record, low, high): the pieces of each record
+        if `cut`, else every stretch that can equal a piece of a partner. The digest takes in the length and its class.
+        low and high are the parities of how many words of the record fall into each of 128 classes of words."""
         words = [t.split(" ") for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        starts = np.cumsum(sizes) - sizes
         h = self.hashes([w for ws in words for w in ws])
-        n = len(h)
         with np.errstate(over="ignore"):
-            rolled = np.zeros(n, np.uint64)
-            rolled[1:] = (h[:-1] * _A + h[1:]) * _B >> np.uint64(40)
-            record = np.repeat(np.arange(len(words)), sizes)
-            within = (np.arange(n) - starts[record]).astype(np.int64)
+            within = np.arange(len(h)) - np.repeat(starts, sizes)
             powers = np.cumprod(np.full(int(sizes.max(initial=1)), _B, np.uint64))
-            sums = np.zeros(n + 1, np.uint64)
+            sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * powers[within], out=sums[1:])
             unpowers = np.cumprod(np.full(int(sizes.max(initial=1)), _B_INVERSE, np.uint64))
+            bit = np.uint64(1) << (h >> np.uint64(32) & np.uint64(63))
+            upper = (h >> np.uint64(40) & np.uint64(1)).astype(bool)
+            none = np.uint64(0)
+            low, high = (np.bitwise_xor.reduceat(np.where(x, none, bit), starts).view(np.int64) if len(h) else np.zeros(0, np.int64) for x in (upper, ~upper))
             out = []
-            tol = SHORT * TOLERANCE // (TOLERANCE - 1) + 1
-            for chunk, least, of in ((CHUNK, STRETCH, sizes >= SHORT), (CHUNK_SHORT, STRETCH_SHORT, sizes < tol)):
-                cut = (rolled % np.uint64(chunk) == 0) & of[record]
-                cut[starts[of]] = True
-                at = np.flatnonzero(cut)
-                if not len(at):
-                    continue
-                r = record[at]
-                bounds = np.union1d(at, ends[of])
-                want = at + least
-                whole = (want > ends[r]) & (at == starts[r])
-                to = np.where(whole, ends[r], bounds[np.minimum(np.searchsorted(bounds, want), len(bounds) - 1)])
-                keep = whole | (want <= ends[r])
-                at, to, r = at[keep], to[keep], r[keep]
-                digest = (sums[to] - sums[at]) * unpowers[within[at]]
-                digest = (digest ^ (digest >> np.uint64(29))) * _A + (to - at).astype(np.uint64)
-                out.append((r, digest.view(np.int64), within[at], to - at, sizes[r]))
+            for r, at, length, of in (self._cut if cut else self._slide)(sizes):
+                begin = starts[r] + at
+                digest = (sums[begin + length] - sums[begin]) * unpowers[at]
+                digest = (digest ^ (digest >> np.uint64(29))) * _A + (length | of << 16).astype(np.uint64)
+                digest = (digest ^ (digest >> np.uint64(32))) * _B
+                out.append((r, digest.view(np.int64), at, length, sizes[r], low[r], high[r]))
         if not out:
             empty = np.zeros(0, np.int64)
-            return empty, empty, empty, empty, empty
+            return (empty,) * 7
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: Bits of a position or a length in words, and of a stretch's length (longer ones count as 255).
+#: Bits of a position or a length in words, and of a stretch's length.
 _BITS, _LEN_BITS = 28, 8
 
 
-def digests_of(records: DataFrame) -> DataFrame:
-    """(digest, rep, place) of records (rep, words); place packs position, record length and stretch length."""
+def digests_of(records: DataFrame, cut: bool, tolerance: int = TOLERANCE) -> DataFrame:
+    """(digest, rep, place, low, high) of records (rep, words), of their pieces if `cut`, else of all stretches that can equal
+    one; place packs position, record length and stretch length, low and high are parities of the words."""
     id_type = records.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunker = Chunker()
+        cutter = Cutter(tolerance)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            record, digest, at, length, n = chunker.digests(batch.column(1).to_pylist())
-            place = (n << (_BITS + _LEN_BITS)) | (at << _LEN_BITS) | np.minimum(length, (1 << _LEN_BITS) - 1)
+            record, digest, at, length, n, low, high = cutter.digests(batch.column(1).to_pylist(), cut)
+            place = (n << (_BITS + _LEN_BITS)) | (at << _LEN_BITS) | length
             reps = batch.column(0).take(pa.array(record))
-            yield pa.RecordBatch.from_arrays([pa.array(digest), reps, pa.array(place)], ["digest", "rep", "place"])
+            columns = [pa.array(digest), reps, pa.array(place), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "rep", "place", "low", "high"])
 
-    return records.select("rep", "words").mapInArrow(run, f"digest bigint, rep {id_type}, place bigint")
+    return records.select("rep", "words").mapInArrow(run, f"digest bigint, rep {id_type}, place bigint, low bigint, high bigint")
 
 
 def _words(place: Column) -> Column:
@@ -150,10 +176,6 @@ def _length(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << _LEN_BITS) - 1))
 
 
-def _length_class(n: Column) -> Column:
-    return F.floor(F.log(CLASS_RATIO, n.cast("double"))).cast("int")
-
-
 def within_edits(a: list[str], b: list[str], most: int) -> bool:
     """Whether at most `most` words are added, dropped or replaced between a and b.
 
@@ -215,23 +237,24 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     records = records.where("held_out IS NOT NULL AND words <> '' AND id IS NOT NULL")
     records = written(records.select("id", "held_out", "words", F.md5("words").alias("mark")), "records")
     reps, members = _representatives(records)
-    left = digests_of(reps.where("held_out")).select("digest", F.col("rep").alias("e"), F.col("place").alias("e_place"))
-    right = digests_of(reps.where("NOT held_out")).select("digest", F.col("rep").alias("t"), F.col("place").alias("t_place"))
+    # Records of a pair are about as long as each other. With the class of length in the digest, one that very
+    # many records share falls apart by length, and pairs of too different lengths are hardly formed.
+    left = digests_of(reps.where("held_out"), False, tolerance).select("digest", F.col("rep").alias("e"), F.col("place").alias("e_place"), F.col("low").alias("e_low"), F.col("high").alias("e_high"))
+    right = digests_of(reps.where("NOT held_out"), True, tolerance).select("digest", F.col("rep").alias("t"), F.col("place").alias("t_place"), F.col("low").alias("t_low"), F.col("high").alias("t_high"))
     e_n, t_n = _words(F.col("e_place")), _words(F.col("t_place"))
-    # Records of a pair are about as long as each other. With the class of length in the key, a digest that very
-    # many records share falls apart by length, and pairs of too different lengths are never formed.
-    least, longest = e_n - F.floor(e_n / tolerance), F.ceil(e_n * tolerance / (tolerance - 1)) + 1
-    left = left.withColumn("length", F.explode(F.sequence(_length_class(least), _length_class(longest))))
-    right = right.withColumn("length", _length_class(t_n))
     most = F.floor(F.greatest(e_n, t_n) / tolerance)
-    near = (F.abs(e_n - t_n) <= most) & (F.abs(_at(F.col("e_place")) - _at(F.col("t_place"))) <= most)
+    moved = _at(F.col("e_place")) - _at(F.col("t_place"))
+    before = F.floor(_at(F.col("t_place")) / _length(F.col("t_place")))  # number of the piece, and of edits before it
+    near = (before <= most) & (F.abs(moved) <= before) & (F.abs(e_n - t_n - moved) <= most - before)
+    # A replaced word turns at most two parities, an added or dropped one turns one.
+    turned = F.bit_count(F.col("e_low").bitwiseXOR(F.col("t_low"))) + F.bit_count(F.col("e_high").bitwiseXOR(F.col("t_high")))
+    near = near & (turned <= 2 * most - F.abs(e_n - t_n))
     pairs = (
-        left.join(right, ["digest", "length"])
+        left.join(right, "digest")
         .where(near)
         .select("e", "t", _length(F.col("e_place")).alias("len"), F.greatest(e_n, t_n).alias("n"))
         .groupBy("e", "t")
         .agg((F.sum("len") / F.max("n")).alias("overlap"))
-        .where(F.col("overlap") >= OVERLAP)
     )
     pairs = written(pairs, "pairs")
 

@@ -76,6 +76,26 @@ def test_overlaps_against_brute_force(spark):
     assert {p for p in want if p not in got} == want - got and len(want) > 60
 
 
+def test_every_pair_at_the_tolerance_is_found(spark):
+    rng, data, want = random.Random(11), [], set()
+    for k, n in enumerate([9, 10, 10, 11, 18, 19, 20, 27, 36, 45, 45, 50, 50, 60, 60, 71, 72, 80, 100, 120, 150, 300] * 5):
+        base = [f"v{rng.randrange(4000)}" for _ in range(n)]
+        even = list(base)
+        for j in range(n // 10):  # spread as far apart as can be
+            even[min(n - 1, (j + 1) * n // (n // 10 + 1))] = f"even{k}x{j}"
+        shorter = list(base)
+        for j in sorted(rng.sample(range(n), n // 10), reverse=True):
+            del shorter[j]
+        longer = list(base)
+        for j in range(n // 9):
+            longer.insert(rng.randrange(len(longer) + 1), f"more{k}x{j}")
+        for j, words in enumerate((base, edit(base, n // 10, rng), even, shorter, longer)):
+            data.append((10 * k + j, "test" if j else "train", " ".join(words)))
+            if j:
+                want.add((10 * k, 10 * k + j))
+    assert want <= {tuple(r) for r in overlap.found(dialogues(spark, data)).collect()}
+
+
 def test_copies_of_one_wording_meet_every_partner(spark):
     data = [(i, "train", "the same words all over " * 3) for i in range(40)] + [(100, "test", "The same, words all over " * 3)]
     assert overlap.found(dialogues(spark, data)).count() == 40
