@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondar.operators import pool
+from sondar.operators import batching, pool
 
 DIMS = ("bh", "bsh", "blh", "blsh")
 
@@ -143,12 +143,17 @@ class Activations:
         counts = one.groupBy("sample_id").agg(F.count("*").alias("n"))
         return kept, self.spine.select("sample_id").join(counts, "sample_id", "left").na.fill(0, ["n"])
 
-    def padded(self, ids: DataFrame | None = None) -> DataFrame:
-        """(keys..., vecs, mask): each sample's vectors filled up with zeros to the longest of the batch."""
+    def padded(self, ids: DataFrame | None = None, batches: DataFrame | None = None) -> DataFrame:
+        """(keys..., vecs, mask): each sample's vectors filled up with zeros to the longest of the ids (all if None) or,
+        with planned batches (sample_id, n, batch), of its batch."""
         self._need("s")
         data, spine = (self.data, self._spine()) if ids is None else (self.data.join(ids, "sample_id", "left_semi"), self._spine().join(ids, "sample_id", "left_semi"))
         rows = data.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "det"))).alias("t"))
-        joined = spine.join(rows, self.keys, "left").withColumn("_len", data.agg(F.max("pos") + 1).scalar())
+        joined = spine.join(rows, self.keys, "left")
+        if batches is None:
+            joined = joined.withColumn("_len", data.agg(F.max("pos") + 1).scalar())
+        else:
+            joined = joined.join(batching.longest(batches).withColumnRenamed("longest", "_len"), "sample_id")
         missing = F.col("_len") - F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0))
         zeros = F.array_repeat(F.lit(0.0), pool.width(data))
         vecs = F.concat(F.coalesce(F.transform("t", lambda s: F.transform(s["vec"], lambda x: x.cast("double"))), F.array().cast("array<array<double>>")), F.array_repeat(zeros, missing.cast("int")))

@@ -59,6 +59,12 @@ def sequence_batches(df: DataFrame, batch_size: int = 32, max_padded_tokens: int
     return each.select(*keys, "chunk", F.col("z.s.sample_id").alias("sample_id"), F.col("z.s.n").alias("n"), F.col("z.batch").alias("batch"))
 
 
+def longest(batches: DataFrame) -> DataFrame:
+    """(sample_id, longest) of planned batches: the length of the longest sample of each sample's batch."""
+    keys = [c for c in batches.columns if c not in ("sample_id", "n")]
+    return batches.select("sample_id", F.max("n").over(W.partitionBy(*keys)).alias("longest"))
+
+
 def token_chunks(df: DataFrame, chunk_tokens: int = 500_000, chunk: int = 4096) -> DataFrame:
     """(chunk, sample_id, n, batch): whole samples in order, at most chunk_tokens together but at least one sample."""
     from sondar.operators.dataset import _positions

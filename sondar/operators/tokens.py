@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, strip_all
+from sondar.operators import batching
 from sondar.session import spread
 
 ROLE_IDS = {"system": 0, "user": 1, "assistant": 2}
@@ -239,12 +240,13 @@ def truncate(tokens: DataFrame, max_tokens: int, side: str = "left", preserve: s
     return numbered.where("_kept").withColumn("pos", (F.col("pos") - first).cast("int")).drop("_n", "_kept")
 
 
-def padded(tokens: DataFrame, samples: DataFrame, pad_id: int = 0, padding_side: str = "right") -> DataFrame:
-    """(sample_id, ids, attention): ids of each sample filled up to the longest one on one side."""
+def padded(tokens: DataFrame, samples: DataFrame, pad_id: int = 0, padding_side: str = "right", batches: DataFrame | None = None) -> DataFrame:
+    """(sample_id, ids, attention): ids of each sample filled up on one side, to the longest one of all or, with
+    planned batches (sample_id, n, batch), of its batch."""
     rows = tokens.groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))), lambda t: t["token_id"]).alias("ids"))
-    longest = tokens.agg(F.max("pos") + 1).scalar()
     joined = samples.select("sample_id").join(rows, "sample_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    missing = (longest - F.size("ids")).cast("int")
+    joined = joined.withColumn("longest", tokens.agg(F.max("pos") + 1).scalar()) if batches is None else joined.join(batching.longest(batches), "sample_id")
+    missing = (F.col("longest") - F.size("ids")).cast("int")
     fill, real, none = F.array_repeat(F.lit(pad_id).cast("bigint"), missing), F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), missing)
     pair = (lambda a, b: F.concat(a, b)) if padding_side == "right" else (lambda a, b: F.concat(b, a))
     return joined.select("sample_id", pair(F.col("ids"), fill).alias("ids"), pair(real, none).alias("attention"))

@@ -84,6 +84,11 @@ def _padded(spark, sf):  # noqa: ANN001, ANN202
     return p.select("sample_id", F.size("vecs").alias("length"), F.size(F.filter("mask", lambda m: m)).alias("detected"))
 
 
+def _padded_batches(spark, sf):  # noqa: ANN001, ANN202
+    p = layered(spark, sf).select_layer(10).padded(batches=batching.sequence_batches(_lengths(spark, sf), 32))
+    return p.select("sample_id", F.size("vecs").alias("length"), F.size(F.filter("mask", lambda m: m)).alias("detected"))
+
+
 def _finite(spark, sf):  # noqa: ANN001, ANN202
     t = tokens(spark, sf)
     dirty = t.withColumn("vec", F.transform("vec", lambda x: F.when((F.col("pos") == 3) & (x > 100), F.lit(float("nan"))).when((F.col("pos") == 5) & (x > 100), F.lit(float("-inf"))).otherwise(x)))
@@ -127,6 +132,7 @@ QUERIES = {
     "activations_detected_counts": _detected,
     "activations_cat": _cat,
     "activations_padded_batch": _padded,
+    "activations_padded_batches": _padded_batches,
     "activations_finite_check": _finite,
     "batching_sequences": _batches,
     "batching_features": _feature_batches,
@@ -186,6 +192,9 @@ SELECT sample_id, CAST(2 * i + dim AS INT) AS dim, round(layer * v, 9) AS x FROM
     + ", c AS (SELECT sample_id, count(*) AS n FROM t GROUP BY sample_id) SELECT sample_id, n FROM c UNION ALL SELECT sample_id + (SELECT max(sample_id) + 1 FROM c), n FROM c",
     "activations_padded_batch": TOKENS
     + """SELECT sample_id, (SELECT max(pos) + 1 FROM t WHERE sample_id < 20) AS length, count(*) FILTER (WHERE det) AS detected FROM t WHERE sample_id < 20 GROUP BY sample_id""",
+    "activations_padded_batches": TOKENS
+    + """, c AS (SELECT sample_id, count(*) AS n, count(*) FILTER (WHERE det) AS detected FROM t GROUP BY sample_id),
+b AS (SELECT *, (row_number() OVER (ORDER BY n DESC, sample_id) - 1) // 32 AS batch FROM c) SELECT sample_id, max(n) OVER (PARTITION BY batch) AS length, detected FROM b""",
     "activations_finite_check": TOKENS
     + "SELECT count(DISTINCT (sample_id, pos)) AS rows, count(*) FILTER (WHERE pos = 3 AND x > 100) AS nans, count(*) FILTER (WHERE pos = 5 AND x > 100) AS infinities FROM e",
     "batching_sequences": """WITH RECURSIVE l AS (SELECT user_id AS sample_id, count(*) AS n FROM events GROUP BY 1),

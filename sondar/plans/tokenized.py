@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondar.operators import batching
 from sondar.operators import masks as M
 from sondar.operators import tokens as T
 from sondar.functions.text import ROLE_ALIASES
@@ -67,6 +68,15 @@ def _pad_batch(spark, sf):  # noqa: ANN001, ANN202
     return p.select("sample_id", F.size("ids").alias("length"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("real"))
 
 
+def _pad_batches(spark, sf):  # noqa: ANN001, ANN202
+    s = prompts(spark, sf)
+    t = T.tokenize(s)
+    counts = t.groupBy("sample_id").agg(F.count("*").alias("n"))
+    lengths = s.select("sample_id").join(counts, "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("n"))
+    p = T.padded(t, s, batches=batching.sequence_batches(lengths, 32))
+    return p.select("sample_id", F.size("ids").alias("length"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("real"))
+
+
 def _range_join(spark, sf):  # noqa: ANN001, ANN202
     s = prompts(spark, sf)
     t = T.tokenize(s).alias("t")
@@ -122,6 +132,7 @@ QUERIES = {
     "tokens_truncate_right": _truncate("right"),
     "tokens_gather": _gather,
     "tokens_pad_batch": _pad_batch,
+    "tokens_pad_batches": _pad_batches,
     "tokens_char_to_token": _range_join,
     **{name: _mask(source, build) for name, (source, build, _) in {**MASKS, **TEXT_MASKS}.items()},
 }
@@ -216,6 +227,9 @@ ORACLES = {
 q AS (SELECT CAST(idx AS BIGINT) AS idx, sample_id FROM w JOIN o ON p = CASE WHEN i < 0 THEN n + i ELSE i END) SELECT idx, sample_id, count(*) AS n FROM q JOIN t USING (sample_id) GROUP BY ALL""",
     "tokens_pad_batch": _PROMPTS
     + ", c AS (SELECT x.sample_id, count(t.pos) AS real FROM x LEFT JOIN t USING (sample_id) WHERE x.sample_id <= 50 GROUP BY 1) SELECT sample_id, max(real) OVER () AS length, real FROM c",
+    "tokens_pad_batches": _PROMPTS
+    + """, c AS (SELECT x.sample_id, count(t.pos) AS real FROM x LEFT JOIN t USING (sample_id) GROUP BY 1),
+b AS (SELECT *, (row_number() OVER (ORDER BY real DESC, sample_id) - 1) // 32 AS batch FROM c) SELECT sample_id, max(real) OVER (PARTITION BY batch) AS length, real FROM b""",
     "tokens_char_to_token": _PROMPTS
     + ", c AS (SELECT sample_id, CAST(floor(length(text) / 2) AS BIGINT) AS c FROM x) SELECT t.sample_id, c, pos FROM t JOIN c USING (sample_id) WHERE char_start <= c AND c < char_end",
     **{name: _MASKED + _SUMS.format("w", condition) for name, (_, _, condition) in MASKS.items()},

@@ -108,3 +108,19 @@ def test_batches(spark):
     assert plan[0] == 0 and plan[1] == plan[2] == 1
     chunks = {r.sample_id: r.batch for r in batching.token_chunks(df, 5).collect()}
     assert chunks == {0: 0, 1: 1, 2: 1}
+
+
+def test_padding_by_planned_batch_keeps_every_row(spark):
+    from sondar.operators import tokens as T
+
+    a = layered(spark)
+    lengths = a.data.where("layer = 10").groupBy("sample_id").agg(F.count("*").alias("n")) if "layer" in a.data.columns else a.data.groupBy("sample_id").agg(F.count("*").alias("n"))
+    n = {r.sample_id: r.n for r in lengths.collect()}
+    order = sorted(n, key=lambda i: (-n[i], i))
+    want = {i: n[order[k - k % 2]] for k, i in enumerate(order)}
+    assert {r.sample_id: len(r.vecs) for r in a.padded(batches=batching.sequence_batches(lengths, 2)).collect()} == want
+    s = spark.createDataFrame([(k, "ab " * k) for k in range(60, 0, -1)] + [(0, "")], "sample_id bigint, text string")
+    t = spark.createDataFrame([(k, p, 7) for k in range(61) for p in range(k)], "sample_id bigint, pos int, token_id bigint")
+    lengths = s.selectExpr("sample_id", "sample_id AS n")
+    p = {r.sample_id: (len(r.ids), sum(r.attention)) for r in T.padded(t, s, batches=batching.sequence_batches(lengths, 4)).collect()}
+    assert p == {k: (60 - (60 - k) // 4 * 4, k) for k in range(61)}
