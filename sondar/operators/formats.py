@@ -18,8 +18,9 @@ Defined results
     strings       equal if their letters and digits, in order, case aside, are equal
     numbers       equal if their values are (1, 1.0, 1e0); never equal to strings or booleans
     null          a value of its own; a missing field differs from a null field
-    payload null or unparsable -> the record has no copies
-    prompt null   -> the record has no copies
+    payload null or unparsable -> the record has no copies, and is a group of one
+    prompt null   -> the record has no copies, and is a group of one
+    id null       -> no record
     repeated ids  -> one row (an id isn't a copy of itself)
     empty tables  -> empty result; extra columns are ignored
 """
@@ -126,10 +127,14 @@ def copies(cells: DataFrame) -> DataFrame:
     return pairs.select("keep_id", F.col("id").alias("copy_id"))
 
 
-def group_sizes(cells: DataFrame) -> DataFrame:
-    """(keep_id, copies): one row per distinct record and how many records it stands for."""
-    records = encoded(cells)
-    return records.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("key")
+def group_sizes(cells: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
+    """(keep_id, copies): one row per distinct record and how many records it stands for. A record without cells is
+    a group of its own."""
+    keys = encoded(cells).select("id", F.unhex(F.sha2(F.to_json("key"), 256)).alias("key"))
+    ids = records.select(F.col(id_col).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("key")).where("id IS NOT NULL")
+    every = keys.unionByName(ids).groupBy("id").agg(F.max("key").alias("key"))
+    alone = F.when(F.col("key").isNull(), F.col("id"))
+    return every.groupBy("key", alone.alias("alone")).agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("key", "alone")
 
 
 def wildguard_cells(wildguard: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = formats.group_sizes(formats.wildguard_cells(table(spark, sf_dir, "wildguard_mix")))
-    r = formats.group_sizes(formats.json_cells(table(spark, sf_dir, "raw_records"), "raw_id", "payload"))
+    wildguard, raw = table(spark, sf_dir, "wildguard_mix"), table(spark, sf_dir, "raw_records")
+    w = formats.group_sizes(formats.wildguard_cells(wildguard), wildguard, "record_id")
+    r = formats.group_sizes(formats.json_cells(raw, "raw_id", "payload"), raw, "raw_id")
     return w.withColumn("source_table", F.lit("wildguard_mix")).unionByName(r.withColumn("source_table", F.lit("raw_records")))
 
 

@@ -33,6 +33,18 @@ def test_json_copies(spark):
     assert formats.copies(formats.json_cells(empty, "raw_id", "payload")).count() == 0
 
 
+def test_group_sizes_count_every_record(spark, tmp_path):
+    from sondar.plans import corpus
+
+    w = [(1, "a b", None), (2, "A, b!", None), (3, None, None), (4, None, "harmful"), (5, "c", None)]
+    r = [(1, '{"a": 1}'), (2, '{"a": 1.0}'), (3, '{"a": '), (4, None), (5, '{"a": '), (5, '{"a": ')]
+    spark.createDataFrame(w, "record_id bigint, prompt string, prompt_harm_label string").write.parquet(f"{tmp_path}/wildguard_mix.parquet")
+    spark.createDataFrame(r, "raw_id bigint, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    got = corpus.p3_group_sizes(spark, str(tmp_path)).select("source_table", "keep_id", "copies")
+    want = [("wildguard_mix", *x) for x in ((1, 2), (3, 1), (4, 1), (5, 1))] + [("raw_records", *x) for x in ((1, 2), (3, 1), (4, 1), (5, 1))]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def dialogues(spark, data):
     return spark.createDataFrame([(i, s, [("user", t)] if t is not None else None, "x") for i, s, t in data], f"sample_id bigint, split string, messages {MSG}, words string")
 
