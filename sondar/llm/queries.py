@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondar.llm import bpe, budget, language, leaks, pairs, reading
+from sondar.llm import bpe, budget, corpus, language, leaks, pairs, reading
 from sondar.session import table
 
 
@@ -80,5 +80,6 @@ QUERIES = {
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
+    **corpus.QUERIES,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**corpus.ORACLES}
