@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondar.plans import corpus, datasets, evaluation, probing, registered, sequences, streamed, tokenized
+from sondar.plans import datasets, evaluation, probing, registered, sequences, streamed, tokenized
 
-_PARTS = (probing, evaluation, datasets, sequences, tokenized, registered, streamed, corpus)
+_PARTS = (probing, evaluation, datasets, sequences, tokenized, registered, streamed)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
