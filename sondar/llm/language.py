@@ -52,6 +52,9 @@ KEPT_SHARE = 0.97
 DECISIVE_SHARE = 0.33
 #: Longer stretches without an end of sentence are classified in pieces of this many characters.
 PIECE = 4_000
+#: Compression level. At negative levels literals stay as they are and only matches with the dictionary shorten a text,
+#: which is all that tells languages apart; levels from 1 on also spend time on coding the literals.
+LEVEL = -1
 
 LATIN = ("en", "es", "pt", "fr", "de")
 
@@ -150,14 +153,14 @@ class Classifier:
     """Compressors of the languages' dictionaries."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        settings = {"source_size": 256, "min_match": 3, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        settings = {"source_size": 256, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         self.sized = {}
         for code, data in dictionaries.items():
-            parameters = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(data), **settings)
+            parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(data), **settings)
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.sized[code] = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress
         self.by_script = {s: [(c, self.sized[c]) for c in codes if c in self.sized] for s, codes in CANDIDATES.items()}
-        self.bare = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, **settings)).compress
+        self.bare = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **settings)).compress
 
     def classify(self, sentence: str) -> tuple[str, float] | None:
         """(language, confidence) of one sentence; None if it is none or the margin is narrow."""
