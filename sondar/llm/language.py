@@ -2,7 +2,9 @@
 
 Each language has a zstandard raw-content dictionary. A sentence is encoded with the
 dictionary of every language of its script; the smallest encoding names the language,
-unless the next one is hardly larger or the dictionary saves hardly anything.
+unless the next one is hardly larger or the dictionary saves hardly anything. Russian and
+Chinese, alone of the seven in their scripts, are held against languages outside the seven
+(Ukrainian, Bulgarian, Serbian; Japanese), and what is nearer to one of those is rejected.
 
 The dictionaries start from seed text and are refined on labelled rows: at most
 SAMPLE_ROWS rows in hash order, whose sentences count only where the seed dictionaries
@@ -33,11 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.functions.text import language_code
-from sondar.llm.seeds import SEEDS
+from sondar.llm.seeds import RIVALS, SEEDS
 from sondar.session import drawn, spread
 
-#: Labelled rows the dictionaries are refined on, and sentences taken of one of them.
+#: Bounds of the sample the dictionaries are refined on: labelled rows, and of one of them messages, characters of
+#: a message, sentences, and characters of a sentence.
 SAMPLE_ROWS = 3_000
+SAMPLE_MESSAGES = 4
+SAMPLE_MESSAGE_CHARS = 800
 SAMPLE_SENTENCES = 12
 SAMPLE_CHARS = 400
 DICTIONARY_BYTES = 24_000
@@ -48,8 +53,6 @@ MARGIN_BYTES = 2
 MARGIN_SHARE = 0.05
 #: Most a sentence may keep of the size it has without any dictionary.
 KEPT_SHARE = 0.97
-#: A whole message that a dictionary takes down to this share is in its language.
-DECISIVE_SHARE = 0.33
 #: Longer stretches without an end of sentence are classified in pieces of this many characters.
 PIECE = 4_000
 #: Compression level. At negative levels literals stay as they are and only matches with the dictionary shorten a text,
@@ -146,67 +149,54 @@ def script(sentence: str) -> tuple[str, int] | None:
     return ("latin", n) if latin * 2 > sum(map(str.isalpha, sentence)) else None
 
 
-CANDIDATES = {"latin": LATIN, "cyrillic": ("ru",), "han": ("zh",)}
+CANDIDATES = {"latin": LATIN, "cyrillic": ("ru", "uk", "bg", "sr"), "han": ("zh", "ja")}
+#: A Chinese character takes four bytes, the least length of a match, so that single characters and words of two can match.
+ENCODINGS = {"han": "utf-32-be"}
 
 
 class Classifier:
     """Compressors of the languages' dictionaries."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        settings = {"source_size": 256, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        settings = {"source_size": 256, "min_match": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         self.sized = {}
-        for code, data in dictionaries.items():
+        for code, data in (rival_dictionaries() | dictionaries).items():
+            if code in CANDIDATES["han"]:
+                data = data.decode().encode(ENCODINGS["han"])
             parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(data), **settings)
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.sized[code] = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress
         self.by_script = {s: [(c, self.sized[c]) for c in codes if c in self.sized] for s, codes in CANDIDATES.items()}
         self.bare = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **settings)).compress
 
-    def classify(self, sentence: str) -> tuple[str, float] | None:
-        """(language, confidence) of one sentence; None if it is none or the margin is narrow."""
-        kind = script(sentence)
-        if kind is None:
-            return None
-        data = plain(sentence).encode()
-        sizes = [(len(encode(data)), code) for code, encode in self.by_script[kind[0]]]
-        sizes.sort()
-        best, code = sizes[0]
-        if len(sizes) == 1:  # the script alone tells; the dictionary says how surely
-            alone = len(self.bare(data))
-            return code, round(min(1.0, max(0.5, 2.5 * (alone - best) / alone)), 4)
+    def kept(self, code: str, data: str) -> float:
+        """The share that a language's dictionary leaves of a plain text."""
+        raw = data.encode(ENCODINGS["han"] if code in CANDIDATES["han"] else "utf-8", "replace")
+        return len(self.sized[code](raw)) / len(raw)
+
+    def nearest(self, candidates: str, text: str) -> tuple[str, float] | None:
+        """(language, confidence) of the smallest encoding of a text; None if no dictionary saves anything, the margin is
+        narrow, or the language is none of the seven. Every dictionary of the script is tried."""
+        data = plain(text).encode(ENCODINGS.get(candidates, "utf-8"), "replace")
+        sizes = sorted([(len(encode(data)), code) for code, encode in self.by_script[candidates]])
+        (best, code), (rival, _) = sizes[:2]
         if best * 2 > len(data) and best > KEPT_SHARE * len(self.bare(data)):
             return None
-        rival = sizes[1][0]
-        if rival - best < max(MARGIN_BYTES, MARGIN_SHARE * rival):
+        if rival - best < max(MARGIN_BYTES, MARGIN_SHARE * rival) or code not in SEEDS:
             return None
         return code, round(min(1.0, 2.5 * (rival - best) / rival), 4)
 
-    def main(self, content: str) -> str | None:
-        """The language of a whole message without code and links; None if it is none or the margin is narrow.
+    def classify(self, sentence: str) -> tuple[str, float] | None:
+        """(language, confidence) of one sentence; None if it is none or the margin is narrow."""
+        kind = script(sentence)
+        return None if kind is None else self.nearest(kind[0], sentence)
 
-        The dictionaries are tried from the last one that matched on; one that takes the text
-        down to DECISIVE_SHARE decides alone, as no other language's comes near that."""
+    def main(self, content: str) -> str | None:
+        """The language of a whole message without code and links; None if it is none or the margin is narrow."""
         text = running(content)
         kind = script(text)
-        if kind is None:
-            return None
-        order = self.by_script[kind[0]]
-        if len(order) == 1:
-            return order[0][0]
-        data = plain(text).encode()
-        least, sizes = DECISIVE_SHARE * len(data), []
-        for place, (code, encode) in enumerate(order):
-            size = len(encode(data))
-            if size <= least:
-                if place:
-                    order.insert(0, order.pop(place))
-                return code
-            sizes.append((size, code))
-        sizes.sort()
-        (best, code), (rival, _) = sizes[:2]
-        if best * 2 > len(data) and best > KEPT_SHARE * len(self.bare(data)):
-            return None
-        return None if rival - best < max(MARGIN_BYTES, MARGIN_SHARE * rival) else code
+        got = None if kind is None else self.nearest(kind[0], text)
+        return got and got[0]
 
     def message(self, content: str | None) -> list[tuple[str, float, int]]:
         """(language, confidence, sentences) of each segment of a message: neighbouring sentences
@@ -229,6 +219,10 @@ def seed_dictionaries() -> dict[str, bytes]:
     return {code: plain(text).encode() for code, text in SEEDS.items()}
 
 
+def rival_dictionaries() -> dict[str, bytes]:
+    return {code: plain(text).encode() for code, text in RIVALS.items()}
+
+
 #: A labelled row teaches its language if more than half of its sentences are found to be in it.
 #: Of them, those found with at least the first confidence count; in the last round also those
 #: that are rejected, or found in another language with less than the second, if their opening
@@ -261,7 +255,7 @@ def refine(labelled: list[tuple[str, list[str]]]) -> dict[str, bytes]:
                     doubtful = doubt > 0 and (g is None or g[1] < doubt) and typical.get(_opening(s)) == code
                     if own_language or doubtful:
                         data = plain(s)
-                        agreed[code].setdefault(data, len(classifier.sized[code](data.encode())) / len(data.encode()))
+                        agreed[code].setdefault(data, classifier.kept(code, data))
         grown = {}
         for code, seed in seed_dictionaries().items():
             parts: dict[str, None] = {}
@@ -294,7 +288,7 @@ def rows_of(table: DataFrame, source: str, id_col: str, messages: str) -> DataFr
 
 def dictionaries_of(rows: DataFrame) -> dict[str, bytes]:
     """Refined on a bounded sample of the rows whose label names a language."""
-    text = F.transform(F.slice("messages", 1, 4), lambda m: F.substring(m["content"], 1, SAMPLE_CHARS * 2))
+    text = F.transform(F.slice("messages", 1, SAMPLE_MESSAGES), lambda m: F.substring(m["content"], 1, SAMPLE_MESSAGE_CHARS))
     usable = rows.where("named IS NOT NULL AND record_id IS NOT NULL AND messages IS NOT NULL")
     picked = drawn(usable.select("record_id", "named", text.alias("texts")), "record_id", SAMPLE_ROWS).select("named", "texts")
     labelled = []
@@ -357,3 +351,11 @@ def dialogues(rows: DataFrame) -> DataFrame:
         F.round(F.col("main.n") / F.col("all") * F.col("main.sure") / F.col("main.n"), 4).alias("confidence"),
         "languages",
     )
+
+
+def profiled(rows: DataFrame) -> DataFrame:
+    """dialogues() for every record: one without a confident sentence has language null, confidence 0 and no languages."""
+    every = rows.where("record_id IS NOT NULL").select("source_table", "record_id").distinct()
+    return every.join(dialogues(rows), ["source_table", "record_id"], "left").select(
+        "source_table", "record_id", "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages")
+    )

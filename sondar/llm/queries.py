@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.dialogues(_chats(spark, sf_dir))
+    return language.profiled(_chats(spark, sf_dir))
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

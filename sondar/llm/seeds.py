@@ -70,3 +70,44 @@ SEEDS = {
         "有些问题早就应该由知道答案的人提出来。这是关于新计划的，其他记录说这对今年来说已经足够了。"
     ),
 }
+
+#: Languages outside the seven that share a script with one of them. What is nearest to these is in none of the seven.
+RIVALS = {
+    "uk": (
+        "немає жодної причини, чому ви не могли б зробити це з тим, що у вас є. "
+        "це була одна з перших справ, яку вони мали з'ясувати, перш ніж інші змогли почати. "
+        "ми думаємо, що більшість людей хоче знати, скільки було використано і звідки все це взялося. "
+        "будь ласка, скажіть мені, що краще, тому що я не впевнений і мені потрібна допомога з роботою. "
+        "після другого тижня вона сказала, що тільки деякі з них були дуже добрі, але він не погодився. "
+        "чи можете ви пояснити, що відбувається, коли будинок відкритий і всі діти йдуть у сад? "
+        "деякі з цих питань треба було поставити вже давно тим, хто знав відповідь. "
+        "йдеться про новий план, і інші нотатки кажуть, що цього буде більш ніж достатньо на цей рік."
+    ),
+    "bg": (
+        "няма никаква причина да не можете да направите това с нещата, които имате. "
+        "това беше едно от първите неща, които те трябваше да разберат, преди другите да могат да започнат. "
+        "ние мислим, че повечето хора искат да знаят колко е било използвано и откъде идва всичко това. "
+        "моля, кажете ми кое е по-добре, защото не съм сигурен и имам нужда от помощ с работата. "
+        "след втората седмица тя каза, че само няколко от тях са били наистина добри, но той не се съгласи. "
+        "можете ли да обясните какво се случва, когато къщата е отворена и всички деца отиват в градината? "
+        "някои от тези въпроси трябваше да бъдат зададени отдавна на тези, които знаеха отговора. "
+        "става дума за новия план, а според другите бележки това ще бъде повече от достатъчно за тази година."
+    ),
+    "sr": (
+        "нема никаквог разлога зашто не бисте могли да урадите то са оним што имате. "
+        "то је била једна од првих ствари које су морали да сазнају пре него што су остали могли да почну. "
+        "мислимо да већина људи жели да зна колико је било употребљено и одакле све то долази. "
+        "молим вас, реците ми шта је боље, јер нисам сигуран и треба ми помоћ око посла. "
+        "после друге недеље она је рекла да је само неколико њих било заиста добро, али он се није сложио. "
+        "можете ли да објасните шта се дешава када је кућа отворена и сва деца иду у башту? "
+        "нека од ових питања требало је давно поставити онима који су знали одговор. "
+        "реч је о новом плану, а друге белешке кажу да ће то бити више него довољно за ову годину."
+    ),
+    "ja": (
+        "持っている物でそれを行うことができない理由は何もありません。それは他の人が開始する前に最初に確認しなければならない事項の一つでした。"
+        "大部分の人は使用量と全部の出所を知りたいと我々は考えています。自信がないので、どちらが良いか教えてください。仕事を手伝ってもらう必要があります。"
+        "第二週の後、本当に良いのは数個だけだと彼女は言いましたが、彼は同意しませんでした。家が開いている時に何が起きるか説明できますか。子供達は全員庭に行きます。"
+        "回答を知っている人は以前から質問するべきでした。新計画に関する件で、他の記録によると今年の分は十分以上になる予定です。"
+        "東京都議会議員選挙結果発表、株式会社代表取締役社長就任、国立大学入学試験問題集、経済産業省関連企業、平成二十年度予算案提出、鉄道会社運行情報"
+    ),
+}

@@ -70,3 +70,37 @@ def test_dictionaries_are_bounded_and_learn():
 def test_long_texts_are_read_whole(classifier):
     long = TEXTS["en"].replace(".", ",") * 300 + ". " + TEXTS["de"]
     assert classifier.message(long)[-1][0] == "de"
+
+
+OTHERS = {
+    "bg": "Учениците отидоха вчера на разходка в планината заедно със своите учители.",
+    "sr": "Деца су јуче отишла на излет са својим учитељима и вратила се касно увече.",
+    "uk": "Учора діти разом з учителями пішли гуляти в гори і повернулися пізно.",
+    "ja": "東京都知事選挙投票率過去最低記録更新",
+}
+
+
+@pytest.mark.parametrize("code", sorted(OTHERS))
+def test_languages_outside_the_seven_are_rejected(classifier, code):
+    assert classifier.classify(OTHERS[code]) is None and classifier.main(OTHERS[code]) is None
+
+
+def test_chinese_beside_the_seeds(classifier):
+    for text in ("光合作用发生在绿色植物的叶绿体之内，吸收二氧化碳。", "昨天下午我和朋友一起去看了一场电影"):
+        assert classifier.classify(text)[0] == "zh"
+
+
+def test_an_answer_does_not_depend_on_the_texts_before():
+    shared = "the shared passage stands in both of them word for word and nothing else does"
+    one, other = "um texto do outro lado da rua com muitas palavras. ", "un texto del otro lado de la calle con muchas palabras. "
+    held = {"pt": (one + shared).encode(), "es": (other + shared).encode(), "en": b"x y z", "fr": b"x y z", "de": b"x y z"}
+    for before in (one, other):
+        c = L.Classifier(held)
+        c.main(before)
+        assert c.main(shared) is None
+
+
+def test_every_dialogue_has_a_row(spark):
+    data = [("a", "en", [("user", TEXTS["en"])]), ("b", "en", None), ("c", "en", [("user", "ok")]), ("c", "en", [("user", "ok")]), (None, "en", None)]
+    got = {r.record_id: (r.language, r.confidence > 0, r.languages) for r in L.profiled(rows(spark, data)).collect()}
+    assert got == {"a": ("en", True, ["en"]), "b": (None, False, []), "c": (None, False, [])}
