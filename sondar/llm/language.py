@@ -58,6 +58,9 @@ PIECE = 4_000
 #: Compression level. At negative levels literals stay as they are and only matches with the dictionary shorten a text,
 #: which is all that tells languages apart; levels from 1 on also spend time on coding the literals.
 LEVEL = -1
+#: Least bytes of a match, and bits of the table that finds matches, which has room for all places of a dictionary.
+MIN_MATCH = 5
+HASH_LOG = 15
 
 LATIN = ("en", "es", "pt", "fr", "de")
 
@@ -150,7 +153,7 @@ def script(sentence: str) -> tuple[str, int] | None:
 
 
 CANDIDATES = {"latin": LATIN, "cyrillic": ("ru", "uk", "bg", "sr"), "han": ("zh", "ja")}
-#: A Chinese character takes four bytes, the least length of a match, so that single characters and words of two can match.
+#: A Chinese character takes four bytes, two of them zeros as in its neighbours, so that a single one can make a match.
 ENCODINGS = {"han": "utf-32-be"}
 
 
@@ -158,7 +161,7 @@ class Classifier:
     """Compressors of the languages' dictionaries."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        settings = {"source_size": 256, "min_match": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        settings = {"source_size": 256, "min_match": MIN_MATCH, "hash_log": HASH_LOG, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         self.sized = {}
         for code, data in (rival_dictionaries() | dictionaries).items():
             if code in CANDIDATES["han"]:
