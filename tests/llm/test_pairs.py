@@ -80,3 +80,64 @@ def test_found(spark):
 def test_length_spikes(spark):
     data = [(i, [("user", "q"), ("assistant", "x" * (150 if i < 40 else 100 + i))]) for i in range(120)]
     assert [tuple(r) for r in P.spikes(dialogue(spark, data)).collect()] == [("set_a", 150)]
+
+
+def test_copies_broken_anywhere_and_chinese():
+    q = "We asked about the first thing, then the second thing came up, and at last the third thing was mentioned by all of us in the room."
+    words = q.split()
+    pieces = [words[i : i + 7] for i in range(0, len(words) - 6, 7)]
+    answer = " ".join(w for k, piece in enumerate(reversed(pieces)) for w in [*piece, *(["new"] if k % 2 else [])])
+    assert P.is_copy(q, answer) and not P.is_copy(q, answer + " with much more of its own to say about all that")
+    assert P.is_copy("你好。请把下面的句子翻译成英文，并且说明理由。", "请把下面的句子翻译成英文，并且说明理由")
+    assert not P.is_copy("你好。请把下面的句子翻译成英文，并且说明理由。", "翻译成英文以后意思完全不同，所以没有什么理由")
+
+
+@pytest.mark.parametrize("n", [10, 60, 400])
+def test_length_does_not_change_the_rules(n):
+    assert P.is_empty("&nbsp;" * n) and P.is_empty("none" + " " * n) and not P.is_empty("none " * n)
+
+
+def test_how_a_neighbour_goes_on():
+    key = P.sort_key("one two  three four five six\nseven version...")
+    on = lambda text: P.goes_on(key, P.sort_key("one two three four five six\nseven version" + text))
+    assert (on(" is out"), on("s"), on("\nis out"), on("."), on(", 2"), on("")) == (True, True, False, False, True, False)
+    assert not P.goes_on(key, None) and not P.goes_on("short", "short and more")
+
+
+def test_closed_and_open_ends_take_part(spark):
+    head = "here is what we know about all of it so far\n"
+    data = [
+        (1, [("user", "q"), ("assistant", head + "the answer: a b")]),
+        (2, [("user", "q"), ("assistant", head + "The  answer: a b c and then some more of it, as it stood.")]),
+        (3, [("user", "q"), ("assistant", head + "it grew by a large...")]),
+        (4, [("user", "q"), ("assistant", head + "it grew by a large factor in all.")]),
+        (5, [("user", "q"), ("assistant", head + "it was finished on time.")]),
+        (6, [("user", "q"), ("assistant", head + "it was finished on time. And then more came.")]),
+    ]
+    for parts in (1, 7):
+        got = sorted(map(tuple, P.found(dialogue(spark, data).repartition(parts), language.seed_dictionaries()).collect()))
+        assert got == [(1, 1, "truncated"), (3, 1, "truncated")]
+
+
+def test_a_closed_end_at_a_length_limit(spark):
+    heads = [f"{i:03d} here is what we know about all of it so far" for i in range(40)]
+    data = [(i, [("user", "q"), ("assistant", h + " " * 60 + "it ended.")]) for i, h in enumerate(heads)]
+    data += [(100 + i, [("user", "q"), ("assistant", h + " it ended. Then it went on.")]) for i, h in enumerate(heads[:5])]
+    got = P.found(dialogue(spark, data), language.seed_dictionaries()).where("defect = 'truncated'").collect()
+    assert sorted(r.sample_id for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_neighbours_across_ranges(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta "
+    keys = [f"{base}{k:04d}" for k in range(400)] + [f"{base}{k:04d} and more" for k in range(0, 400, 2)]
+    df = spark.createDataFrame([(bytes([k % 256, k // 256]), key) for k, key in enumerate(keys)], "mark binary, key string")
+    got = {bytes(r.mark) for r in P.shortened(df.unionByName(df)).collect()}
+    assert got == {bytes([k % 256, k // 256]) for k in range(0, 400, 2)}
+
+
+def test_a_repeated_answer_is_no_length_limit(spark):
+    same = "the same long answer without any mark at its end " * 4
+    data = [(i, [("user", "q"), ("assistant", same.strip())]) for i in range(40)] + [(100 + i, [("user", "q"), ("assistant", "word " * (30 + i) + "end.")]) for i in range(30)]
+    assert P.found(dialogue(spark, data), language.seed_dictionaries()).count() == 0
+    limit = [(i, [("user", "q"), ("assistant", (f"{i} alpha beta gamma delta " * 20)[:151].strip().ljust(151, "x"))]) for i in range(40)]
+    assert P.found(dialogue(spark, limit), language.seed_dictionaries()).where("defect = 'truncated'").count() == 40
