@@ -9,13 +9,16 @@ under this tokenizer are encoded; the cube takes the summed deltas, nothing else
     snapshot -> hashes (native) -> contents without a count -> encoded (Arrow, narrow)
     old and new records -> signed deltas -> partial sums per cell -> new cube
 
-Hashes travel through the shuffles, texts only where contents are missing from a
-non-empty table of counts; into an empty one every record is encoded where it is read.
+The first snapshot goes the same way, from an empty state. Hashes travel through the
+shuffles; texts do so only where neither the contents that have a count nor those that
+have none fit in a broadcast. A task encodes a content once, however often it meets it.
 
 Defined results
     null or empty text   -> 0 tokens; the record counts
     null source, language, domain -> a cell of its own (null source, 'und', null domain)
-    repeated record ids  -> the latest row counts (by the order given), one only
+    null record id       -> no record
+    repeated record ids  -> the row that came last counts (column came, nulls first; ties by
+                            the greatest content hash, then cell), one only
     repeated texts       -> one count, every record adds to its cell
     empty tables         -> empty cube
     extra columns        -> ignored; texts are encoded whole
@@ -38,6 +41,8 @@ from sondar.session import small, spread, table, written
 
 CELL = ["source_table", "source", "language", "domain"]
 RECORD = ["source_table", "record_id"]
+_COLUMNS = [*RECORD, "content", *CELL[1:]]
+_MEMO = 500_000
 
 
 def tokenizer_hash(path: str) -> str:
@@ -63,42 +68,75 @@ def _hash(text):  # noqa: ANN001, ANN202
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def counted(texts: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """texts with the number of tokens in place of the text. Narrow: no shuffle."""
+def empty(spark: SparkSession) -> State:
+    """The state before the first snapshot."""
+    cells = "source_table string, source string, language string, domain string"
+    return State(
+        spark.createDataFrame([], "content binary, tokenizer string, tokens bigint"),
+        spark.createDataFrame([], "source_table string, record_id string, content binary, source string, language string, domain string, tokens bigint"),
+        spark.createDataFrame([], f"{cells}, records bigint, tokens bigint"),
+    )
+
+
+def counted(texts: DataFrame, path: str) -> DataFrame:
+    """(content, tokens) of texts (content, text), each content once a task. Narrow: no shuffle."""
     shared = texts.sparkSession.sparkContext.broadcast(bpe.perfect_hash(path))
-    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep) + ", tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = bpe.encoder_of(shared).count
+        seen: set[bytes] = set()
         for batch in batches:
-            n = pa.array([count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], [*keep, "tokens"])
-
-    return texts.select(*keep, "text").mapInArrow(run, schema)
+            if len(seen) > _MEMO:
+                seen.clear()
+            at = []
+            for k, content in enumerate(batch.column(0).to_pylist()):
+                if content not in seen:
+                    seen.add(content)
+                    at.append(k)
+            pick = pa.array(at, pa.int64())
+            numbers = [count(t) for t in batch.column(1).take(pick).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array(numbers, pa.int64())], ["content", "tokens"])
+
+    return texts.select("content", "text").mapInArrow(run, "content binary, tokens bigint")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """rows (RECORD, content, cell, came) with one row a record, the last that came. Only rows of repeated ids are sorted."""
+    again = rows.groupBy(*RECORD).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = small(written(again, "again"))
+    last = rows.join(again, RECORD, "left_semi").groupBy(*RECORD).agg(F.max(F.struct("came", *_COLUMNS[2:])).alias("row"))
+    return rows.join(again, RECORD, "left_anti").select(*_COLUMNS).unionByName(last.select(*RECORD, *[f"row.{c}" for c in _COLUMNS[2:]]))
+
+
+def _without_count(texts: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
+    """texts (content, text) of the contents without a count. What is joined is the smaller of the contents with and without one."""
+    held = contents.join(known.select("content", F.lit(True).alias("known")), "content", "left")
+    held = written(held.select("content", F.coalesce("known", F.lit(False)).alias("known")), "contents")
+    counts = {r.known: r["count"] for r in held.groupBy("known").count().collect()}
+    if not counts.get(True):
+        return texts
+    fewer = counts[True] <= counts.get(False, 0)
+    side = small(held.where(F.col("known") == fewer).select("content"))
+    return texts.join(side, "content", "left_anti" if fewer else "left_semi")
 
 
 def update(snapshot: DataFrame, old: State | None = None, path: str | None = None) -> State:
-    """The state after a snapshot (source_table, record_id, source, language, domain, text)."""
+    """The state after a snapshot (source_table, record_id, source, language, domain, text; came, the time it came, if known)."""
     path = path or bpe.vocabulary_path()
     mark = tokenizer_hash(path)
-    new = snapshot.withColumn("content", _hash(F.col("text")))
-    columns = [*RECORD, "content", *CELL[1:]]
-    if old is None:
-        records = counted(new, path, columns)
-        counts = records.groupBy("content").agg(F.max("tokens").alias("tokens")).withColumn("tokenizer", F.lit(mark))
-        cube = records.groupBy(*CELL).agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
-        return State(counts.select("content", "tokenizer", "tokens"), records, cube)
+    old = old or empty(snapshot.sparkSession)
+    came = F.col("came") if "came" in snapshot.columns else F.lit(None).cast("timestamp")
+    new = snapshot.where("record_id IS NOT NULL").withColumn("content", _hash(F.col("text")))
     known = old.counts.where(F.col("tokenizer") == mark).select("content", "tokens")
-    bare = new.select(*columns)
-    missing = written(bare.select("content").distinct().join(known, "content", "left_anti"), "missing")
-    unseen = new.select("content", "text").join(small(missing), "content", "left_semi")
-    fresh = written(counted(unseen, path, ["content"]).groupBy("content").agg(F.max("tokens").alias("tokens")), "fresh")
-    counts = old.counts.unionByName(fresh.withColumn("tokenizer", F.lit(mark)))
-    records = bare.join(known.unionByName(fresh), "content").select(*columns, "tokens")
-    sign = lambda df, n: df.select(*columns, "tokens", F.lit(n).cast("bigint").alias("sign"))
+    bare = written(_once(new.select(*_COLUMNS, came.alias("came"))), "bare")
+    unseen = _without_count(new.select("content", "text"), bare.select("content").distinct(), known)
+    fresh = written(counted(unseen, path).groupBy("content").agg(F.max("tokens").alias("tokens")), "fresh")
+    counts = old.counts.unionByName(fresh.select("content", F.lit(mark).alias("tokenizer"), "tokens"))
+    records = bare.join(known.unionByName(fresh), "content").select(*_COLUMNS, "tokens")
+    sign = lambda df, n: df.select(*_COLUMNS, "tokens", F.lit(n).cast("bigint").alias("sign"))
     both = sign(records, 1).unionByName(sign(old.records, -1))
     # A record that stays as it was has both signs and adds nothing.
-    deltas = both.groupBy(*columns, "tokens").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    deltas = both.groupBy(*_COLUMNS, "tokens").agg(F.sum("sign").alias("sign")).where("sign <> 0")
     changes = deltas.groupBy(*CELL).agg(F.sum("sign").alias("records"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
     cube = old.cube.unionByName(changes).groupBy(*CELL).agg(F.sum("records").alias("records"), F.sum("tokens").alias("tokens"))
     return State(counts, records, cube.where("records <> 0 OR tokens <> 0"))
@@ -115,7 +153,7 @@ def totals(cube: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot of documents, dialogues and lmsys_chat, each record once, with the time it came."""
+    """Snapshot of documents, dialogues and lmsys_chat, with the time each row came."""
     topics = table(spark, sf_dir, "source_registry").select(source_name(F.col("dataset")).alias("source"), _domain("topic").alias("domain"))
     topics = F.broadcast(topics.groupBy("source").agg(F.min("domain").alias("domain")))  # fixed: one row per registered source
     documents = spread(table(spark, sf_dir, "documents")).select(
@@ -135,16 +173,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         _contents("messages"),
         F.col("ingested_at").alias("came"),
     )
-    chats = table(spark, sf_dir, "lmsys_chat")
-    latest = chats.select("conversation_id", "ingested_at").groupBy("conversation_id").agg(F.max("ingested_at").alias("ingested_at"), F.count("*").alias("n"))
-    again = latest.where("n > 1").select("conversation_id", F.col("ingested_at").alias("last"))
-    # Only rows delivered again need the comparison; ties of ingested_at are cut by one row per id.
-    joined = chats.select("conversation_id", "language", "conversation", "ingested_at").join(small(again), "conversation_id", "left")
-    repeated = joined.where("last IS NOT NULL AND ingested_at = last").groupBy("conversation_id").agg(
-        F.min_by(F.struct("language", "conversation", "ingested_at"), F.xxhash64("language", "conversation")).alias("row")
-    )
-    once = joined.where("last IS NULL").select("conversation_id", "language", "conversation", "ingested_at").unionByName(repeated.select("conversation_id", "row.*"))
-    lmsys = once.select(
+    lmsys = spread(table(spark, sf_dir, "lmsys_chat")).select(
         F.lit("lmsys_chat").alias("source_table"),
         F.col("conversation_id").alias("record_id"),
         F.lit("lmsys_chat").alias("source"),
