@@ -75,6 +75,14 @@ PLACEHOLDERS = {
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&nbsp;|&#160;")
 _WORDS = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+").findall
+_BYTES = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
+def _words(folded: str) -> list[str]:
+    """Runs of letters and digits, and single Chinese characters."""
+    return folded.encode().translate(_BYTES).decode().split() if folded.isascii() else _WORDS(folded)
+
+
 _EMPTY = {" ".join(_WORDS(p)) for p in PLACEHOLDERS}
 _PLACEHOLDER_WORDS = max(p.count(" ") for p in _EMPTY) + 1
 _WORD_RUNS = re.compile(r"[^\W_]+").findall
@@ -122,7 +130,7 @@ def is_empty(answer: str | None) -> bool:
 
 def _is_empty(folded: str, words: list[str] | None = None) -> bool:
     if words is None or "<" in folded or "&" in folded:
-        words = _WORDS(_TAG.sub(" ", folded))
+        words = _words(_TAG.sub(" ", folded))
     return len(words) <= _PLACEHOLDER_WORDS and " ".join(words) in _EMPTY
 
 
@@ -148,7 +156,7 @@ def is_refusal(answer: str, folded: str | None = None) -> bool:
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer's words are runs of the question's, once or more often."""
-    return _is_copy(_WORDS(fold(question)), _WORDS(fold(answer)))
+    return _is_copy(_words(fold(question)), _words(fold(answer)))
 
 
 def _is_copy(asked: list[str], words: list[str]) -> bool:
@@ -215,7 +223,7 @@ _NEWLINE = "\uffff"
 
 def sort_key(folded: str) -> str:
     """A folded answer with single blanks and line ends, without the dots it ends in."""
-    lines = [" ".join(line.split()) for line in _LINE.split(folded)]
+    lines = [" ".join(line.split()) for line in folded.splitlines()]
     return _NEWLINE.join(line for line in lines if line).rstrip(" .\u2026")
 
 
@@ -234,7 +242,7 @@ class Judge:
 
     def judge(self, question: str | None, answer: str | None) -> tuple[list[str], str | None, str | None]:
         folded = fold(answer) if answer else ""
-        words = _WORDS(folded)
+        words = _words(folded)
         if _is_empty(folded, words):
             return ["empty"], None, None
         out, end = [], end_of(answer)
@@ -244,11 +252,11 @@ class Judge:
             out.append("refusal")
         if question:
             asked = fold(question)
-            if _is_copy(_WORDS(asked), words):
+            if _is_copy(_words(asked), words):
                 out.append("copies_question")
             else:
-                theirs = self.classifier.main(answer)
-                if theirs and (ours := self.classifier.main(question)) and ours != theirs and not _NAMED[theirs].search(asked):
+                theirs = self.classifier.main(answer, " ".join(folded.split()))
+                if theirs and (ours := self.classifier.main(question, " ".join(asked.split()))) and ours != theirs and not _NAMED[theirs].search(asked):
                     out.append("other_language")
         return out, end, sort_key(folded)
 
