@@ -70,11 +70,15 @@ def _hash(text):  # noqa: ANN001, ANN202
 
 def empty(spark: SparkSession) -> State:
     """The state before the first snapshot."""
+
+    def none(columns: str) -> DataFrame:  # an empty relation that the optimizer knows to be empty
+        return spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {t}) AS {c}' for c, t in map(str.split, columns.split(', ')))} WHERE false")
+
     cells = "source_table string, source string, language string, domain string"
     return State(
-        spark.createDataFrame([], "content binary, tokenizer string, tokens bigint"),
-        spark.createDataFrame([], "source_table string, record_id string, content binary, source string, language string, domain string, tokens bigint"),
-        spark.createDataFrame([], f"{cells}, records bigint, tokens bigint"),
+        none("content binary, tokenizer string, tokens bigint"),
+        none("source_table string, record_id string, content binary, source string, language string, domain string, tokens bigint"),
+        none(f"{cells}, records bigint, tokens bigint"),
     )
 
 
