@@ -15,10 +15,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wildguard, raw = table(spark, sf_dir, "wildguard_mix"), table(spark, sf_dir, "raw_records")
-    w = formats.group_sizes(formats.wildguard_cells(wildguard), wildguard, "record_id")
-    r = formats.group_sizes(formats.json_cells(raw, "raw_id", "payload"), raw, "raw_id")
-    return w.withColumn("source_table", F.lit("wildguard_mix")).unionByName(r.withColumn("source_table", F.lit("raw_records")))
+    return formats.sizes(table(spark, sf_dir, "wildguard_mix"), table(spark, sf_dir, "raw_records"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +73,32 @@ mixed AS (
   WHERE copies > 0)
 """
 
+_LETTERS = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+
+_KEYS = f"""
+WITH cells AS (
+  SELECT r.raw_id AS id, concat_ws(chr(1), t.fullkey,
+    CASE WHEN t.type = 'VARCHAR' THEN 's' || {_LETTERS.format("json_extract_string(t.value, '$')")}
+         WHEN t.type = 'OBJECT' THEN 'o' WHEN t.type = 'ARRAY' THEN 'a' || json_array_length(t.value)
+         WHEN t.type IN ('NULL', 'BOOLEAN') THEN 'l' || CAST(t.value AS VARCHAR)
+         ELSE 'n' || CAST(CAST(CAST(t.value AS VARCHAR) AS DOUBLE) AS VARCHAR) END) AS cell
+  FROM raw_records r, json_tree(CASE WHEN json_valid(r.payload) THEN r.payload ELSE 'null' END) t WHERE r.raw_id IS NOT NULL),
+keys AS (
+  SELECT 'raw_records' AS source_table, r.raw_id AS id, CASE WHEN json_valid(r.payload) THEN k.key END AS key
+  FROM (SELECT DISTINCT raw_id, payload FROM raw_records WHERE raw_id IS NOT NULL) r
+  LEFT JOIN (SELECT id, array_to_string(list_sort(list(cell)), chr(2)) AS key FROM cells GROUP BY id) k ON r.raw_id = k.id
+  UNION ALL
+  SELECT DISTINCT 'wildguard_mix', record_id,
+    CASE WHEN coalesce(lower(trim(prompt_harm_label)) = 'harmful', false) THEN 'h' ELSE 'u' END || {_LETTERS.format("prompt")}
+  FROM wildguard_mix WHERE record_id IS NOT NULL),
+groups AS (
+  SELECT source_table, key, min(id) AS keep_id, count(*) AS copies FROM keys GROUP BY source_table, key, CASE WHEN key IS NULL THEN id END)
+"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _KEYS
+    + """SELECT k.source_table, g.keep_id, k.id AS copy_id FROM keys k JOIN groups g ON k.source_table = g.source_table AND k.key = g.key WHERE k.id <> g.keep_id""",
+    "p3_group_sizes": _KEYS + "SELECT source_table, keep_id, copies FROM groups",
     "p6_mixture": _MIXING + "SELECT dataset, id AS sample_id, records_size AS size, copies FROM mixed",
     "p6_report": _MIXING
     + """, used AS (SELECT dataset, count(*) AS used, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(records_size * copies) AS BIGINT) AS mixed FROM mixed GROUP BY dataset)

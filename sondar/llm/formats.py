@@ -1,18 +1,18 @@
 """Copies of records that differ in formatting only (problem 3).
 
-Dictionary encoding: every record falls apart into cells (field, kind, value). Each
-distinct value is canonicalised once and gets an integer identifier, the place of its
-first cell (record id, cell number), so that ids need neither a global sort nor a
-materialised counter and come out the same on every run. Records become sorted tuples
-of identifiers, and equal tuples are one group.
+Dictionary encoding: every record falls apart into cells (field, kind, value). A task's
+dictionary canonicalises each distinct value it meets once and gives the field and the
+canonical value an integer identifier of 128 bits. Identifiers are hashes, so that all tasks
+give the same value the same one and no cell has to be joined with a dictionary. A record
+becomes the sorted tuple of its identifiers, and equal tuples, compacted to two integers,
+are one group.
 
-    cells -> distinct raw values (partial aggregation; the only shuffle of text)
-          -> canonical value -> identifier   (16-byte marks from here on)
-          -> tuples of identifiers -> groups -> (keep_id, copy_id)
+    records -> cells -> identifiers -> tuples (Arrow, narrow; (id, tuple) written once, 24 bytes a record)
+            -> groups (partial aggregation) -> (keep_id, copy_id)
 
-A value or a group that a third of the rows share is folded by partial aggregation;
-where rows meet their dictionary entry or their group, the key is a mark of 16 bytes
-and AQE splits what is skewed. No group is ever collected.
+Texts never leave the task that read them. A group that a third of the rows share is folded by
+partial aggregation; where its records meet it again, groups of LARGE records or more are joined
+by broadcast if they fit, the rest by a shuffle. No group is ever collected.
 
 Defined results
     strings       equal if their letters and digits, in order, case aside, are equal
@@ -21,24 +21,76 @@ Defined results
     payload null or unparsable -> the record has no copies, and is a group of one
     prompt null   -> the record has no copies, and is a group of one
     id null       -> no record
-    repeated ids  -> one row (an id isn't a copy of itself)
+    repeated ids  -> one row for each different content (an id isn't a copy of itself)
     empty tables  -> empty result; extra columns are ignored
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondar.functions.text import letters_digits, strip_all
-from sondar.session import spread
+from sondar.functions.text import strip_all
+from sondar.session import small, spread, written
 
-CELLS = "id bigint, at int, field string, kind string, value string"
+#: Records from which on a group is joined with its records by broadcast.
+LARGE = 10_000
+
+_MEMO = 200_000
+_OTHERS = regex.compile(r"[^\p{L}\p{Nd}]+")
+_ASCII_OTHERS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def canonical(text: str) -> bytes:
+    """Letters and digits of a text, in order, with case aside."""
+    if text.isascii():
+        return text.encode().translate(None, _ASCII_OTHERS).lower()
+    return _OTHERS.sub("", text.upper().casefold()).encode("utf-8", "ignore")
+
+
+class Dictionary:
+    """Identifiers of fields and values; a distinct value is canonicalised once while it is remembered."""
+
+    def __init__(self) -> None:
+        self.identifiers: dict[int, int] = {}
+
+    def identifier(self, field: str, kind: str, value: str) -> int:
+        raw = xxhash.xxh3_128_intdigest(f"{field}\0{kind}\0{value}".encode("utf-8", "ignore"))
+        if kind != "string":
+            return raw
+        held = self.identifiers.get(raw)
+        if held is None:
+            if len(self.identifiers) >= _MEMO:
+                self.identifiers.clear()
+            held = self.identifiers[raw] = xxhash.xxh3_128_intdigest(f"{field}\0{kind}\0".encode() + canonical(value))
+        return held
+
+    def tuple_of(self, cells: list[tuple[str, str, str]]) -> list[int]:
+        """The sorted identifiers of a record's cells."""
+        return sorted([self.identifier(*cell) for cell in cells])
+
+
+def compact(identifiers: list[int]) -> tuple[int, int]:
+    """A tuple of identifiers as two integers of 64 bits."""
+    digest = hashlib.blake2b(b"".join([i.to_bytes(16) for i in identifiers]), digest_size=16).digest()
+    return int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Records in a table (id, columns) and the function that makes the cells of one record of its columns; None if it has none."""
+
+    records: DataFrame
+    flatten: Callable[..., list[tuple[str, str, str]] | None]
 
 
 def _number(n: Decimal) -> str:
@@ -78,72 +130,86 @@ def flatten_json(text: str) -> list[tuple[str, str, str]] | None:
     return out
 
 
-def json_cells(records: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """Cells of the records whose payload parses."""
+def json_cells(records: DataFrame, id_col: str, payload_col: str) -> Cells:
+    """Cells of every value of a JSON payload."""
+    picked = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).cast("string").alias("payload"))
+    return Cells(picked, lambda text: None if text is None else flatten_json(text))
+
+
+def column_cells(records: DataFrame, id_col: str, **columns) -> Cells:  # noqa: ANN003
+    """Cells of named string columns; a record with a null in one of them has none."""
+    names = list(columns)
+    picked = records.select(F.col(id_col).cast("bigint").alias("id"), *[c.alias(n) for n, c in columns.items()])
+    return Cells(picked, lambda *values: None if None in values else [(n, "string", v) for n, v in zip(names, values)])
+
+
+def encoded(cells: Cells) -> DataFrame:
+    """(id, high, low): each record's sorted tuple of identifiers, compacted; nulls for a record without cells. Narrow: no shuffle."""
+    flatten = cells.flatten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = Dictionary()
         for batch in batches:
-            ids, rows = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = flatten_json(text) or ()
-                ids.extend([rid] * len(cells))
-                rows.extend((k, *cell) for k, cell in enumerate(cells))
-            at, field, kind, value = zip(*rows) if rows else ((), (), (), ())
-            columns = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), *(pa.array(x, pa.string()) for x in (field, kind, value))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "field", "kind", "value"])
+            keys = []
+            for values in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                held = flatten(*values)
+                keys.append((None, None) if held is None else compact(dictionary.tuple_of(held)))
+            high, low = zip(*keys) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["id", "high", "low"])
 
-    picked = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).cast("string").alias("payload"))
-    return spread(picked.where("id IS NOT NULL AND payload IS NOT NULL")).mapInArrow(run, CELLS)
+    return spread(cells.records.where("id IS NOT NULL")).mapInArrow(run, "id bigint, high bigint, low bigint")
 
 
-def column_cells(records: DataFrame, id_col: str, **columns) -> DataFrame:  # noqa: ANN003
-    """Cells of named string columns; a record with a null in one of them has none."""
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.lit("string").alias("kind"), c.alias("value")) for n, c in columns.items()])
-    picked = records.select(F.col(id_col).cast("bigint").alias("id"), cells.alias("cells"))
-    picked = picked.where("id IS NOT NULL AND NOT exists(cells, c -> c.value IS NULL)")
-    return picked.select("id", F.posexplode("cells").alias("at", "cell")).select("id", "at", "cell.*")
+_KEY = ["high", "low"]
 
 
-def _mark(value) -> F.Column:  # noqa: ANN001
-    return F.unhex(F.md5(F.concat_ws("\x00", "field", "kind", value)))
+def _groups(keys: DataFrame, by: list[str]) -> DataFrame:
+    return keys.where("high IS NOT NULL").groupBy(*by).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
 
 
-def encoded(cells: DataFrame) -> DataFrame:
-    """(id, key): each record as its sorted tuple of identifiers."""
-    distinct = cells.groupBy("field", "kind", "value").agg(F.min(F.struct("id", "at")).alias("first"))
-    canonical = F.when(F.col("kind") == "string", letters_digits(F.col("value"))).otherwise(F.col("value"))
-    marked = distinct.select(_mark("value").alias("raw"), _mark(canonical).alias("canonical"), "first")
-    identifiers = marked.groupBy("canonical").agg(F.min("first").alias("identifier"))
-    dictionary = marked.join(identifiers, "canonical").select("raw", "identifier")
-    tuples = cells.select("id", _mark("value").alias("raw")).join(dictionary, "raw")
-    return tuples.groupBy("id").agg(F.sort_array(F.collect_set("identifier")).alias("key"))
+def _pairs(keys: DataFrame, by: list[str]) -> DataFrame:
+    """(by, keep_id, id): of every group of keys (by, id) the smallest id, with each other id."""
+    groups = written(_groups(keys, by).where("n > 1"), "groups")
+    large = small(groups.where(F.col("n") >= LARGE).drop("n"))
+    rest = keys.join(large.select(*by), by, "left_anti").join(groups.where(F.col("n") < LARGE).drop("n"), by)
+    return keys.join(large, by).unionByName(rest).where("id <> keep_id")
 
 
-def copies(cells: DataFrame) -> DataFrame:
+def copies(cells: Cells) -> DataFrame:
     """(keep_id, copy_id): of every group of equal records the smallest id, with each other id."""
-    records = encoded(cells).select("id", F.unhex(F.sha2(F.to_json("key"), 256)).alias("key"))
-    groups = records.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    pairs = records.join(groups, "key").where("id <> keep_id")
-    return pairs.select("keep_id", F.col("id").alias("copy_id"))
+    return _pairs(written(encoded(cells), "tuples"), _KEY).select("keep_id", F.col("id").alias("copy_id")).distinct()
 
 
-def group_sizes(cells: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
+def group_sizes(cells: Cells) -> DataFrame:
     """(keep_id, copies): one row per distinct record and how many records it stands for. A record without cells is
     a group of its own."""
-    keys = encoded(cells).select("id", F.unhex(F.sha2(F.to_json("key"), 256)).alias("key"))
-    ids = records.select(F.col(id_col).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("key")).where("id IS NOT NULL")
-    every = keys.unionByName(ids).groupBy("id").agg(F.max("key").alias("key"))
-    alone = F.when(F.col("key").isNull(), F.col("id"))
-    return every.groupBy("key", alone.alias("alone")).agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("key", "alone")
+    return _sizes(written(encoded(cells), "tuples"), _KEY).select("keep_id", "copies")
 
 
-def wildguard_cells(wildguard: DataFrame) -> DataFrame:
+def _sizes(keys: DataFrame, by: list[str]) -> DataFrame:
+    once = keys.distinct()
+    alone = once.where("high IS NULL").select(*by, F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"))
+    return _groups(once, by).withColumnRenamed("n", "copies").unionByName(alone)
+
+
+def wildguard_cells(wildguard: DataFrame) -> Cells:
     harmful = F.coalesce(F.lower(strip_all(F.col("prompt_harm_label"))) == "harmful", F.lit(False))
     return column_cells(wildguard, "record_id", prompt=F.col("prompt"), harmful=harmful.cast("string"))
 
 
+def _both(wildguard: DataFrame, raw_records: DataFrame) -> DataFrame:
+    """(source_table, id, high, low) of the records of both tables."""
+    w = encoded(wildguard_cells(wildguard)).withColumn("source_table", F.lit("wildguard_mix"))
+    r = encoded(json_cells(raw_records, "raw_id", "payload")).withColumn("source_table", F.lit("raw_records"))
+    return written(w.unionByName(r), "tuples")
+
+
 def found(wildguard: DataFrame, raw_records: DataFrame) -> DataFrame:
     """(source_table, keep_id, copy_id) of both tables."""
-    w = copies(wildguard_cells(wildguard)).withColumn("source_table", F.lit("wildguard_mix"))
-    r = copies(json_cells(raw_records, "raw_id", "payload")).withColumn("source_table", F.lit("raw_records"))
-    return w.unionByName(r).select("source_table", "keep_id", "copy_id")
+    pairs = _pairs(_both(wildguard, raw_records), ["source_table", *_KEY])
+    return pairs.select("source_table", "keep_id", F.col("id").alias("copy_id")).distinct()
+
+
+def sizes(wildguard: DataFrame, raw_records: DataFrame) -> DataFrame:
+    """(source_table, keep_id, copies) of both tables."""
+    return _sizes(_both(wildguard, raw_records), ["source_table", *_KEY]).select("source_table", "keep_id", "copies")

@@ -135,3 +135,20 @@ def test_a_small_total_takes_each_record_at_most_once(spark):
     t = spark.createDataFrame([("a", 1.0, 5)], "dataset string, target_share double, max_repeats int")
     m = mixing.mixture(r, t, total=300)
     assert m.count() in (30, 31) and m.agg(F.max("copies")).first()[0] == 1
+
+
+def test_large_groups_and_the_rest_are_joined_alike(spark, monkeypatch):
+    data = [(i, "same words" if i % 3 else f"w{i // 6}", None, 1, 1) for i in range(200)]
+    w = spark.createDataFrame(data, WILD)
+    want = rows(formats.copies(formats.wildguard_cells(w)))
+    monkeypatch.setattr(formats, "LARGE", 2)
+    assert rows(formats.copies(formats.wildguard_cells(w))) == want and len(want) > 150
+
+
+def test_identifiers_are_integers_of_field_and_canonical_value():
+    d = formats.Dictionary()
+    a = d.identifier("prompt", "string", "Hello, World!")
+    assert a == d.identifier("prompt", "string", "hello   world") != d.identifier("label", "string", "hello world")
+    assert formats.compact(d.tuple_of([("a", "string", "x"), ("b", "string", "Y")])) == formats.compact(d.tuple_of([("b", "string", "y"), ("a", "string", " X")]))
+    assert d.identifier("a", "number", "1e1") != d.identifier("a", "string", "1e1")
+    assert formats.canonical("Ａb-ß İ 2²") == formats.canonical("ａB SS i̇2")
