@@ -189,7 +189,8 @@ def cat(parts: Sequence[Activations]) -> Activations:
         moved = (F.col("sample_id") + F.lit(shift)).alias("sample_id")
         data.append(p.data.select(moved, *[c for c in p.data.columns if c != "sample_id"]))
         spines.append(p.spine.select(moved))
-        shift += (p.spine.agg(F.max("sample_id")).first()[0] or -1) + 1
+        last = p.spine.agg(F.max("sample_id")).first()[0]
+        shift += 0 if last is None else last + 1
     same = all(p.metadata == first.metadata for p in parts)
     metadata = first.metadata if same else {"sources": [p.metadata for p in parts]}
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)

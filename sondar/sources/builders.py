@@ -141,15 +141,17 @@ def rollouts(df: DataFrame, messages: str, outputs: str, grades: str, table: dic
     return out.withColumn("label", label).where("label IS NOT NULL").withColumn("messages", F.concat(kept, F.array(message("assistant", F.col("_out"))))).drop("_r", "_out")
 
 
-def numbered_placeholders(df: DataFrame, id_col: str, messages: str, placeholder: str) -> DataFrame:
-    """messages with each placeholder replaced by a counter that grows by one per message of the row that holds it."""
+def numbered_placeholders(df: DataFrame, id_col: str, messages: str, placeholder: str, first: Column | None = None) -> DataFrame:
+    """messages with each placeholder replaced by a counter, from first (1) on, that grows by one per message of the row that
+    holds it."""
+    first = F.lit(1) if first is None else first
     holds = lambda m: F.coalesce(m["content"].contains(placeholder), F.lit(False))
     counted = F.aggregate(
         F.col(messages),
         F.struct(F.lit(0).alias("n"), F.array().cast(MESSAGES).alias("out")),
         lambda a, m: F.struct(
             (a["n"] + holds(m).cast("int")).alias("n"),
-            F.concat(a["out"], F.array(message(m["role"], F.replace(m["content"], F.lit(placeholder), (a["n"] + 1).cast("string"))))).alias("out"),
+            F.concat(a["out"], F.array(message(m["role"], F.replace(m["content"], F.lit(placeholder), (a["n"] + first).cast("string"))))).alias("out"),
         ),
         lambda a: a["out"],
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
+import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -12,23 +12,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondar.operators.dataset import coerce_label
+from sondar.sources import files
 from sondar.sources.builders import MESSAGES, from_messages
 
 #: Largest file that is parsed by one Python task (YAML, HTTP); larger ones are an error.
 MAX_BYTES = 256_000_000
 
 
-def first_existing(paths: Sequence[str]) -> str:
-    """The first path there is; FileNotFoundError names them all."""
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first path (or pattern) there is; FileNotFoundError names them all."""
     for p in paths:
-        if os.path.exists(p) or glob.glob(p):
+        if files.matches(spark, p):
             return p
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
 
-def latest(pattern: str) -> str:
+def latest(spark: SparkSession, pattern: str) -> str:
     """The last of the files that match, in order of their names."""
-    found = sorted(glob.glob(pattern))
+    found = files.matches(spark, pattern)
     if not found:
         raise FileNotFoundError(pattern)
     return found[-1]
@@ -66,10 +67,18 @@ def read_yaml(spark: SparkSession, path: str, rows: Callable[[object], Iterable[
         import yaml
     except ImportError as e:
         raise ImportError("reading YAML needs the module yaml") from e
-    if os.path.getsize(path) > MAX_BYTES:
-        raise ValueError(f"{path} has more than {MAX_BYTES} bytes")
-    with open(path) as f:
-        return spark.createDataFrame(list(rows(yaml.safe_load(f))), schema)
+    return spark.createDataFrame(list(rows(yaml.safe_load(files.read_text(spark, path, MAX_BYTES)))), schema)
+
+
+def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a YAML list, with the schema Spark infers of them as JSON. Needs a YAML module."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading YAML needs the module yaml") from e
+    records = yaml.safe_load(files.read_text(spark, path, MAX_BYTES))
+    lines = spark.createDataFrame([(json.dumps(r),) for r in records], "value string")
+    return spark.read.json(lines.rdd.map(lambda r: r.value))
 
 
 def read_http_json(spark: SparkSession, url: str, schema: str, *, allow_network: bool = False, timeout: float = 30) -> DataFrame:
@@ -89,11 +98,15 @@ def read_http_json(spark: SparkSession, url: str, schema: str, *, allow_network:
     return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in json.loads(body)], schema)
 
 
-def read_union(read: Callable[[str], DataFrame], paths: Mapping[str, str], column: str) -> DataFrame:
-    """All files that exist, each with its key in a constant column, merged by name."""
-    parts = [read(p).withColumn(column, F.lit(k)) for k, p in paths.items() if os.path.exists(p)]
-    if not parts:
-        raise FileNotFoundError(f"none of {list(paths.values())} exists")
+def read_union(spark: SparkSession, read: Callable[[str], DataFrame], paths: Mapping[str, str], column: str, *, skip_missing: bool = False) -> DataFrame:
+    """All files, each with its key in a constant column, merged by name. A missing file is an error; with skip_missing it
+    is left out, with a warning, as long as there is one."""
+    missing = [p for p in paths.values() if not files.matches(spark, p)]
+    if missing and (not skip_missing or len(missing) == len(paths)):
+        raise FileNotFoundError(f"{missing} don't exist")
+    if missing:
+        warnings.warn(f"left out: {missing}", stacklevel=2)
+    parts = [read(p).withColumn(column, F.lit(k)) for k, p in paths.items() if p not in missing]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -7,14 +7,13 @@ without one (or with another format's) is no store. Loading layers reads their f
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondar.operators.activations import Activations
+from sondar.sources import files
 
 FORMAT = "sondar-activations"
 _TYPES = {"float32": "float", "bfloat16": "float", "float64": "double"}
@@ -33,14 +32,12 @@ def save(acts: Activations, path: str, *, dtype: str = "float32", compression: s
     data = acts.cast(_TYPES[dtype]).data
     if dtype == "bfloat16":
         data = data.withColumn("vec", rounded_bfloat16(F.col("vec")))
-    if os.path.exists(os.path.join(path, "manifest.json")):
-        os.remove(os.path.join(path, "manifest.json"))
+    spark = data.sparkSession
+    files.remove(spark, f"{path}/manifest.json")
     writer = data.write.mode("overwrite").option("compression", compression)
     (writer.partitionBy("layer") if acts.layers else writer).parquet(f"{path}/data")
     acts.spine.select("sample_id").write.mode("overwrite").parquet(f"{path}/spine")
-    with open(os.path.join(path, "manifest.tmp"), "w") as f:
-        f.write(manifest)
-    os.replace(os.path.join(path, "manifest.tmp"), os.path.join(path, "manifest.json"))
+    files.write_text(spark, f"{path}/manifest.json", manifest)
 
 
 def rounded_bfloat16(vec):  # noqa: ANN001, ANN201
@@ -62,8 +59,10 @@ def rounded_bfloat16(vec):  # noqa: ANN001, ANN201
 
 
 def manifest(path: str) -> dict:
-    with open(os.path.join(path, "manifest.json")) as f:
-        held = json.load(f)
+    spark = SparkSession.active()
+    if not files.exists(spark, f"{path}/manifest.json"):
+        raise FileNotFoundError(f"{path} is no store of activations")
+    held = json.loads(files.read_text(spark, f"{path}/manifest.json"))
     if held.get("format") != FORMAT:
         raise ValueError(f"{path} is no store of activations")
     return held
@@ -108,4 +107,4 @@ def stream(spark: SparkSession, path: str, *, layers: int | Sequence[int] | None
 def remove(path: str) -> None:
     if not has_store(path):
         raise ValueError(f"{path} is no store of activations")
-    shutil.rmtree(path)
+    files.remove(SparkSession.active(), path)
