@@ -64,7 +64,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
+    return reading.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
 
 
 QUERIES = {

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.llm.words import fold
-from sondar.session import spread
+from sondar.session import drawn, spread, written
 
 BANDS = ("basic", "intermediate", "advanced")
 SHARE = 0.6
@@ -41,7 +41,8 @@ MIN_WORDS = 40
 KNOWN_LINE = 0.35
 #: Letters that a Chinese character counts besides itself when foreign text is weighed.
 HAN_LETTERS = 2
-#: Bounds on what is fitted and broadcast: graded samples read, words of a band's vocabulary.
+#: Bounds on what is fitted and broadcast: graded samples, drawn by a hash of their text where there are more, and words of a
+#: band's vocabulary.
 MAX_GRADED = 20_000
 MAX_VOCABULARY = 50_000
 #: Weight of sentence length beside the coverage ranks, and least spread of a feature.
@@ -178,16 +179,20 @@ def calibration(graded_features: DataFrame) -> Column:
 
 def levels(documents: DataFrame, graded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, band, words, sentence_words, coverage ranks) of every document with enough English text."""
-    picked = graded.select("text", F.lower(F.trim("band")).alias("band")).where("text IS NOT NULL")
-    samples = picked.limit(MAX_GRADED + 1).collect()
-    if len(samples) > MAX_GRADED:
-        raise ValueError(f"more than {MAX_GRADED} graded samples")
-    ranks = vocabularies([(r.text, r.band) for r in samples])
+    picked = graded.select("text", F.lower(F.trim("band")).alias("band")).where("text IS NOT NULL AND band IS NOT NULL")
+    picked = written(drawn(picked, "text", MAX_GRADED), "graded")
+    ranks = vocabularies([(r.text, r.band) for r in picked.collect()])
     band = calibration(measured(picked, "band", ranks))
     texts = documents.select(F.col(doc_id).alias("doc_id"), "text")
     return measured(texts, "doc_id", ranks).withColumn("band", band)
 
 
+def profile(documents: DataFrame, graded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """levels() for every document id: one without enough English text, or that no band covers, has nulls."""
+    every = documents.select(F.col(doc_id).alias("doc_id")).distinct()
+    return every.join(levels(documents, graded, doc_id).dropDuplicates(["doc_id"]), "doc_id", "left")
+
+
 def found(documents: DataFrame, graded: DataFrame) -> DataFrame:
     """(doc_id, band): the basic and the advanced documents."""
     return levels(documents, graded).where("band IN ('basic', 'advanced')").select("doc_id", "band").distinct()

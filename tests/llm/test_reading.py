@@ -28,3 +28,16 @@ def test_coverage_rank_is_the_smallest_top_that_covers():
     words, _, basic, middle, hard = R.Reader(ranks).features("a b b c c c " * 10)
     assert (words, basic, middle, hard) == (60, 3, 15, 15)
     assert R.Reader(ranks).features("a a b " * 20)[2] == 1
+
+
+def test_every_document_has_a_row(spark):
+    df = spark.createDataFrame([(1, PLAIN * 8), (2, None), (3, "short"), (3, "short")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.band, r.words is None) for r in R.profile(df, graded(spark)).collect()}
+    assert got == {1: ("basic", False), 2: (None, True), 3: (None, True)}
+
+
+def test_more_graded_samples_than_are_read(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_GRADED", 6)
+    more = graded(spark).unionByName(graded(spark).selectExpr("grade_id", "concat(text, ' The end.') AS text", "band"))
+    df = spark.createDataFrame([(1, PLAIN * 8)], "doc_id bigint, text string")
+    assert R.levels(df, more).count() == 1
