@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,12 +29,25 @@ def get_session(app: str = "sondar", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder of spark.checkpoint.dir. Only a local session, whose executors share the driver's disk, gets one of
+    its own where none is set; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    return held or tempfile.mkdtemp(prefix="sondar-checkpoint-")
+    context = spark.sparkContext
+    held = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
+    if held:
+        return held
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="sondar-checkpoint-")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+    return _LOCAL[context.applicationId]
+
+
+#: Folders of local sessions that set none.
+_LOCAL: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,10 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/sondar-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    cleared(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver exits."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
