@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondar.functions.text import LANGUAGE_NAMES
 from sondar.llm import bpe, budget, corpus, language, leaks, pairs, reading
 from sondar.session import table
 
@@ -42,6 +43,16 @@ def p2_signed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.totals(budget.update(corpus.where(F.col("came") >= F.lit("2024-07-01").cast("timestamp")), first).cube)
 
 
+def p2_record_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube's records alone, which SQL can count."""
+    return budget.totals(budget.update(budget.corpus(spark, sf_dir)).cube).drop("tokens")
+
+
+def p2_earlier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier run's side of the comparison, which SQL can count."""
+    return p2_earlier_runs(spark, sf_dir).drop("tokens", "ratio")
+
+
 def p2_earlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = budget.update(budget.corpus(spark, sf_dir)).records
     return budget.compared(records, table(spark, sf_dir, "token_batches"))
@@ -75,6 +86,8 @@ QUERIES = {
     "p2_token_counts": p2_token_counts,
     "p2_signed_deltas": p2_signed_deltas,
     "p2_earlier_runs": p2_earlier_runs,
+    "p2_record_cube": p2_record_cube,
+    "p2_earlier_totals": p2_earlier_totals,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
@@ -82,4 +95,37 @@ QUERIES = {
     "p9_levels": p9_levels,
     **corpus.QUERIES,
 }
-ORACLES: dict[str, str] = {**corpus.ORACLES}
+
+
+_NAME = "regexp_replace(lower(regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '[\\s\\-_]+', '_', 'g')"
+_LABEL = "regexp_replace(lower(regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '[\\s_\\-(].*$', '')"
+_CODE = f"coalesce(CASE {_LABEL} " + " ".join(f"WHEN '{n}' THEN '{c}'" for c, names in LANGUAGE_NAMES.items() for n in {c: 0, **dict.fromkeys(names)}) + " END, 'und')"
+
+_RECORDS = f"""
+WITH topics AS (SELECT {_NAME.format("dataset")} AS source, min(lower(trim(topic))) AS domain FROM source_registry GROUP BY 1),
+chats AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ingested_at DESC) AS k FROM lmsys_chat),
+records AS (
+  SELECT 'documents' AS source_table, CAST(doc_id AS VARCHAR) AS record_id, {_NAME.format("source")} AS source, {_CODE.format("lang")} AS language, lower(trim(text_domain)) AS domain FROM documents
+  UNION ALL SELECT 'dialogues', CAST(sample_id AS VARCHAR), {_NAME.format("d.dataset")}, {_CODE.format("metadata['language']")}, t.domain
+    FROM dialogues d LEFT JOIN topics t ON t.source = {_NAME.format("d.dataset")}
+  UNION ALL SELECT 'lmsys_chat', conversation_id, 'lmsys_chat', {_CODE.format("language")}, t.domain
+    FROM chats LEFT JOIN topics t ON t.source = 'lmsys_chat' WHERE k = 1 AND conversation_id IS NOT NULL)
+"""
+_EACH = "SELECT '{}' AS by, {}, count(*) AS records FROM records GROUP BY {}"
+_EMPTY = {c: f"CAST(NULL AS VARCHAR) AS {c}" for c in budget.CELL}
+
+
+def _level(by: str, kept: list[str]) -> str:
+    return _EACH.format(by, ", ".join(c if c in kept else _EMPTY[c] for c in budget.CELL), ", ".join(kept))
+
+
+ORACLES: dict[str, str] = {
+    **corpus.ORACLES,
+    "p2_record_cube": _RECORDS
+    + " UNION ALL ".join(_level(by, kept) for by, kept in (("cell", budget.CELL), ("table", budget.CELL[:1]), ("source", budget.CELL[:2]), ("language", ["language"]), ("domain", ["domain"]))),
+    "p2_earlier_totals": _RECORDS
+    + f""", batches AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ingested_at DESC) AS k FROM token_batches WHERE record_ids IS NOT NULL AND offsets IS NOT NULL),
+each AS (SELECT CASE WHEN {_NAME.format("dataset")} = 'lmsys_chat' THEN 'lmsys_chat' ELSE 'dialogues' END AS source_table, offsets, record_ids, unnest(range(1, len(record_ids) + 1)) AS i FROM batches WHERE k = 1),
+counts AS (SELECT source_table, record_ids[i] AS record_id, max(offsets[i + 1] - offsets[i]) AS earlier FROM each WHERE offsets[i + 1] - offsets[i] IS NOT NULL GROUP BY 1, 2)
+SELECT source_table, source, count(*) AS records, CAST(sum(earlier) AS BIGINT) AS earlier FROM counts JOIN records USING (source_table, record_id) GROUP BY 1, 2""",
+}
