@@ -32,7 +32,14 @@ def _chat(table: str, column: str) -> str:
 SELECT 0 AS label, len(ms) AS turns, count(*) AS n, CAST(sum(list_sum(list_transform(ms, lambda m: length(m.content)))) AS BIGINT) AS chars FROM k WHERE len(ms) > 0 GROUP BY 2"""
 
 
+# How many public sources each topic has.
+_TOPIC_SIZES = {
+    "agents": 4, "creative": 6, "cybersecurity": 20, "deception": 17, "hallucination": 4, "harmfulness": 28, "legal_finance": 4,
+    "medical": 4, "mental_health": 4, "multilingual": 3, "ood": 10, "reasoning": 5, "science": 24, "sparse_probing": 113,
+}
+
 ORACLES = {
+    "source_topics": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({n} AS BIGINT))" for t, n in _TOPIC_SIZES.items()) + ") AS t(topic, sources)",
     "source_lmsys_chat": _chat("lmsys_chat", "conversation"),
     "source_chatbot_arena": _chat("chatbot_arena", "conversation_a"),
     "source_wildguard_mix": """WITH d AS (SELECT DISTINCT prompt, CASE WHEN lower(prompt_harm_label) = 'harmful' THEN 1 ELSE 0 END AS label FROM wildguard_mix),

@@ -394,8 +394,8 @@ def _multi_turn() -> list[Spec]:
         for method in [*names, *[f"long_context_{k}k" for k in (4, 8, 16, 32)]]:
             name = f"{family}_{method}"
             out.append(Spec(name, topics[family], f"multi-turn/{name}", messages="conversation", label="1", metadata=("base_ids", "method", "n_turns")))
-    for name, topic in (("cyberrisk", "cybersecurity"), ("virology", "science"), ("harmfulness", "harmfulness"), ("long_context", "ood"), ("multi_turn", "ood")):
-        out.append(Spec(f"{name}_negative", topic, f"multi-turn/{name}_negative", messages="conversation", metadata=("base_ids",)))
+    for name in ("wildchat_multi_turn", *[f"long_context_{k}k" for k in (4, 8, 16, 32)]):
+        out.append(Spec(f"{name}_negative", "harmfulness", f"multi-turn/negatives/{name}", messages="conversation", metadata=("base_ids",)))
     return out
 
 
