@@ -88,12 +88,9 @@ class Activations:
             raise ValueError(f"can't reduce over {dim!r}")
         self._need("l")
         keys = ["sample_id", "pos"] if "s" in self.dims else ["sample_id"]
-        each = self.data.select(*keys, *(["det"] if "s" in self.dims else []), F.posexplode("vec").alias("dim", "x"))
-        value = F.avg("x") if how == "mean" else F.max("x")
-        by_dim = each.groupBy(*keys, *(["det"] if "s" in self.dims else []), "dim").agg(value.alias("x"))
-        vec = F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
-        data = by_dim.groupBy(*keys, *(["det"] if "s" in self.dims else [])).agg(vec.alias("vec"))
-        return replace(self, data=data, dims=self.dims.replace("l", ""), layers=None)
+        keys += ["det"] if "s" in self.dims else []
+        vec = pool.layer_mean("vec") if how == "mean" else pool.layer_max("vec")
+        return replace(self, data=self.data.groupBy(*keys).agg(vec.alias("vec")), dims=self.dims.replace("l", ""), layers=None)
 
     # Selection.
     def select_layer(self, layer: int | Sequence[int]) -> Activations:

@@ -1,17 +1,19 @@
 """Masks over tokens: boolean columns from roles, messages, positions and text, closed under &, | and ~.
 
 A mask is a small tree with a canonical key; masks of equal keys are equal. Applying one
-adds a boolean column. Positions in messages are windows over one partitioning by sample.
-Text masks find their places once per sample, as intervals of token positions in an
-array beside the text, which then meets the tokens in one join on the sample.
+adds a boolean column. Positions in messages come from the tokenizing stage or, where
+tokens have none, from windows over one partitioning by sample. For text masks the tokens
+of a sample meet its text once; one Arrow stage finds the places of all of them by binary
+search, linear in the text, and gives each token a bit for each mask.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +23,8 @@ from sondar.operators.tokens import ROLE_IDS
 
 # Fixed value: ids that are special where a tokenizer names none.
 SPECIAL_IDS = (0, 1, 2, 3, 106, 107, 128000, 128001, 128256)
-_INTERVALS = "array<struct<a:int,b:int>>"
+#: Text masks that fit in the bits of one integer.
+MOST_TEXT_MASKS = 60
 
 
 @dataclass(frozen=True)
@@ -152,12 +155,11 @@ def apply(tokens: DataFrame, mask: Mask, samples: DataFrame | None = None, name:
     them those masks select nothing."""
     texts = list(dict.fromkeys(leaf for leaf in _leaves(mask) if leaf.kind in TEXT_KINDS))
     out, made = tokens, []
-    places: dict[Mask, str] = {}
+    places: dict[Mask, int] = {}
     if texts and samples is not None:
-        found = intervals(tokens, samples, texts)
-        places = {leaf: f"_iv{k}" for k, leaf in enumerate(texts)}
-        made.extend(places.values())
-        out = out.join(found, "sample_id", "left")
+        out = _marked(tokens, samples, texts)
+        places = {leaf: k for k, leaf in enumerate(texts)}
+        made.append("_bits")
     counter = iter(range(10_000))
 
     def build(df: DataFrame, m: Mask) -> tuple[DataFrame, Column]:
@@ -188,9 +190,14 @@ def apply(tokens: DataFrame, mask: Mask, samples: DataFrame | None = None, name:
             n = m.params[0]
             if n >= 0:
                 return df, F.col("msg_idx") == n
+            if "last_msg" in tokens.columns:
+                return df, (F.col("msg_idx") == F.col("last_msg") + 1 + n) & (F.col("last_msg") + 1 + n >= 0)
             wanted = F.max("msg_idx").over(W.partitionBy("sample_id")) + 1 + n
             return windowed((F.col("msg_idx") == wanted) & (wanted >= 0))
         if m.kind in ("first_n", "last_n"):
+            column = "msg_up" if m.kind == "first_n" else "msg_down"
+            if column in tokens.columns:
+                return df, (F.col("msg_idx") >= 0) & (F.col(column) <= m.params[0])
             order = F.col("pos").asc() if m.kind == "first_n" else F.col("pos").desc()
             rank = F.row_number().over(W.partitionBy("sample_id", "msg_idx").orderBy(order))
             return windowed((F.col("msg_idx") >= 0) & (rank <= m.params[0]))
@@ -199,98 +206,112 @@ def apply(tokens: DataFrame, mask: Mask, samples: DataFrame | None = None, name:
         if m.kind in TEXT_KINDS:
             if m not in places:
                 return df, F.lit(False)
-            inside = F.exists(places[m], lambda v: (F.col("pos") >= v["a"]) & (F.col("pos") <= v["b"]))
-            return df, F.coalesce(inside, F.lit(False))
+            return df, F.getbit("_bits", F.lit(places[m])) == 1
         raise ValueError(f"unknown mask {m.kind!r}")
 
     out, column = build(out, mask)
     return out.withColumn(name, column).drop(*made)
 
 
-def intervals(tokens: DataFrame, samples: DataFrame, leaves: Sequence[Mask]) -> DataFrame:
-    """(sample_id, _iv0, ...): for each text mask the token positions it covers, from one pass over a sample's text."""
-    spans = F.sort_array(F.collect_list(F.struct("char_start", "char_end")))
-    per = tokens.groupBy("sample_id").agg(spans.alias("_spans")).join(samples.select("sample_id", "text"), "sample_id")
-    per = per.select("sample_id", "text", F.transform("_spans", lambda s: s["char_start"]).alias("_s"), F.transform("_spans", lambda s: s["char_end"]).alias("_e"))
-    return per.select("sample_id", *[_covered(leaf).cast(_INTERVALS).alias(f"_iv{k}") for k, leaf in enumerate(leaves)])
-
-
-def _token_at(c: Column) -> Column:
-    """Position of the first token with start <= c < end; null if there is none."""
-    at = F.size(F.filter("_e", lambda e: e <= c))
-    return F.when((c >= 0) & (at < F.size("_e")) & (F.get("_s", at) <= c), at)
-
-
-def _all_starts(text: Column, needle: str, overlapping: bool) -> Column:
-    """0-based places of a literal in a text."""
-    n = len(needle)
-    if not needle:
-        return F.array().cast("array<int>")
-    # Parts between occurrences, then running lengths: linear in the text.
-    if not overlapping:
-        parts = F.split(text, "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-        ends = F.aggregate(
-            F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, p: F.struct((a["at"] + F.length(p) + n).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(p))).alias("out")),
-            lambda a: a["out"],
-        )
-        return ends
-    last = F.length(text) - n
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(text, i + 1, F.lit(n)) == needle)).otherwise(F.array().cast("array<int>"))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-
-
-def _covered(m: Mask) -> Column:
-    text, last = F.col("text"), F.size("_e") - 1
-    drop_nulls: Callable[[Column], Column] = lambda ivs: F.filter(ivs, lambda v: v["a"].isNotNull() & v["b"].isNotNull())
-    if m.kind == "contains":
-        needle, sensitive = m.params
-        hay = text if sensitive else F.lower(text)
-        needle = needle if sensitive else needle.lower()
-        starts = F.when(hay.contains(needle), _all_starts(hay, needle, True)).otherwise(F.array().cast("array<int>"))
-        return _touched(F.transform(starts, lambda c: F.struct(c.alias("s"), (c + len(needle)).alias("e"))))
-    if m.kind == "regex":
-        return _touched(_matches(*m.params)(text))
-    if m.kind == "after":
-        string, inclusive = m.params
-        at = F.instr(text, string) - 1
-        first = _token_at(at if inclusive else at + len(string))
-        return drop_nulls(F.array(_pair(F.when(at >= 0, first), last)))
-    if m.kind == "before":
-        string, inclusive = m.params
-        at = F.instr(text, string) - 1
-        until = _token_at(at + len(string) - 1 if inclusive else at - 1)
-        return drop_nulls(F.array(_pair(F.lit(0), F.when(at >= 0, until))))
-    start, end, inclusive = m.params
-    starts, ends = _all_starts(text, start, False), _all_starts(text, end, False)
-    if inclusive:
-        opened = F.transform(starts, _token_at)
-        closed = F.transform(ends, lambda c: F.when(_token_at(c).isNotNull(), _token_at(c + len(end) - 1)))
-    else:
-        opened = F.transform(starts, lambda c: F.when(_token_at(c).isNotNull() & (_token_at(c + len(start) - 1) + 1 <= last), _token_at(c + len(start) - 1) + 1))
-        closed = F.transform(ends, lambda c: F.when(_token_at(c) > 0, _token_at(c) - 1))
-    pairs = F.transform(F.array_compact(opened), lambda a: _pair(a, F.array_min(F.filter(F.array_compact(closed), lambda b: b > a))))
-    return drop_nulls(pairs)
-
-
-def _touched(chars: Column) -> Column:
-    """Token positions that character intervals [s, e) touch; empty ones touch the token at s."""
-    first = lambda s: F.size(F.filter("_e", lambda e: e <= s))
-    upto = lambda e: F.size(F.filter("_s", lambda s: s < e)) - 1
-    ivs = F.transform(chars, lambda v: F.when(v["e"] > v["s"], _pair(first(v["s"]), upto(v["e"]))).otherwise(_pair(_token_at(v["s"]), _token_at(v["s"]))))
-    return F.filter(ivs, lambda v: v["a"].isNotNull() & (v["a"] <= v["b"]))
-
-
-def _matches(pattern: str, flags: int):  # noqa: ANN202
-    """Arrow UDF: (s, e) of all matches; Spark has no function that gives their places."""
-    compiled = re.compile(pattern, flags)
-
-    @F.pandas_udf("array<struct<s:int,e:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"s": m.start(), "e": m.end()} for m in compiled.finditer(t or "")])
-
-    return spans
+def _marked(tokens: DataFrame, samples: DataFrame, leaves: Sequence[Mask]) -> DataFrame:
+    """tokens with (_bits): for each text mask a bit. Tokens are shuffled once, by sample, and lie beside their text."""
+    if len(leaves) > MOST_TEXT_MASKS:
+        raise ValueError(f"more than {MOST_TEXT_MASKS} different text masks")
+    held = [c for c in tokens.columns if c != "sample_id"]
+    packed = tokens.groupBy("sample_id").agg(F.collect_list(F.struct(*held)).alias("_t")).join(samples.select("sample_id", "text"), "sample_id", "left")
+
+    @F.pandas_udf("array<bigint>")
+    def bits(texts: pd.Series, positions: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_bits(leaves, *row) for row in zip(texts, positions, starts, ends)], dtype=object)
+
+    marks = bits("text", F.col("_t.pos"), F.col("_t.char_start"), F.col("_t.char_end"))
+    rows = packed.select("sample_id", F.explode(F.arrays_zip(F.col("_t").alias("t"), marks.alias("b"))).alias("_r"))
+    return rows.select("sample_id", *[F.col(f"_r.t.{c}").alias(c) for c in held], F.col("_r.b").alias("_bits")).select(*tokens.columns, "_bits")
+
+
+def _bits(leaves: Sequence[Mask], text: str | None, positions: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits of a sample's tokens, in the order they are given in."""
+    order = np.argsort(positions, kind="stable")
+    view = _Text(text or "", np.asarray(starts)[order], np.asarray(ends)[order])
+    out = np.zeros(len(order), np.int64)
+    for k, leaf in enumerate(leaves):
+        edges = np.zeros(len(order) + 1, np.int64)
+        a, b = view.covered(leaf)
+        np.add.at(edges, a, 1)
+        np.add.at(edges, b + 1, -1)
+        out[order] |= (np.cumsum(edges[:-1]) > 0).astype(np.int64) << k
+    return out
+
+
+_NOWHERE = np.zeros(0, np.int64)
+
+
+class _Text:
+    """A text and the characters of its tokens, in order; answers which tokens a mask covers, as intervals of positions."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.s, self.e, self.n = text, starts, ends, len(ends)
+
+    def token_at(self, c: np.ndarray) -> np.ndarray:
+        """Position of the first token with start <= c < end; -1 if there is none."""
+        at = np.searchsorted(self.e, c, "right")
+        held = (c >= 0) & (at < self.n)
+        held[held] = self.s[at[held]] <= c[held]
+        return np.where(held, at, -1)
+
+    def places(self, needle: str, overlapping: bool, text: str | None = None) -> np.ndarray:
+        """Places of a literal in the text."""
+        hay = self.text if text is None else text
+        out, step = [], 1 if overlapping else len(needle)
+        at = hay.find(needle) if needle else -1
+        while at >= 0:
+            out.append(at)
+            at = hay.find(needle, at + step)
+        return np.array(out, np.int64)
+
+    def touched(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that character intervals [s, e) touch; empty ones touch the token at s."""
+        a, b = np.searchsorted(self.e, s, "right"), np.searchsorted(self.s, e, "left") - 1
+        empty = e <= s
+        if empty.any():
+            at = self.token_at(s)
+            a, b = np.where(empty, at, a), np.where(empty, at, b)
+        kept = (a >= 0) & (a <= b)
+        return a[kept], b[kept]
+
+    def covered(self, m: Mask) -> tuple[np.ndarray, np.ndarray]:
+        if not self.n:
+            return _NOWHERE, _NOWHERE
+        if m.kind == "contains":
+            needle, sensitive = m.params
+            at = self.places(needle if sensitive else needle.lower(), True, None if sensitive else self.text.lower())
+            return self.touched(at, at + len(needle))
+        if m.kind == "regex":
+            found = [x.span() for x in re.compile(*m.params).finditer(self.text)]
+            s, e = np.array(found, np.int64).reshape(-1, 2).T
+            return self.touched(s, e)
+        last = self.n - 1
+        if m.kind in ("after", "before"):
+            string, inclusive = m.params
+            at = self.text.find(string)
+            if at < 0:
+                return _NOWHERE, _NOWHERE
+            if m.kind == "after":
+                first = self.token_at(np.array([at if inclusive else at + len(string)]))
+                return first[first >= 0], np.full((first >= 0).sum(), last)
+            until = self.token_at(np.array([at + len(string) - 1 if inclusive else at - 1]))
+            return np.zeros((until >= 0).sum(), np.int64), until[until >= 0]
+        start, end, inclusive = m.params
+        starts, ends = self.places(start, False), self.places(end, False)
+        if inclusive:
+            opened = self.token_at(starts)
+            closed = np.where(self.token_at(ends) >= 0, self.token_at(ends + len(end) - 1), -1)
+        else:
+            after = self.token_at(starts + len(start) - 1)
+            opened = np.where((self.token_at(starts) >= 0) & (after >= 0) & (after + 1 <= last), after + 1, -1)
+            before = self.token_at(ends)
+            closed = np.where(before > 0, before - 1, -1)
+        opened, closed = opened[opened >= 0], np.sort(closed[closed >= 0])
+        at = np.searchsorted(closed, opened, "right")  # the first close after each opening
+        held = at < len(closed)
+        return opened[held], closed[at[held]]

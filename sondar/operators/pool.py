@@ -2,18 +2,19 @@
 
 Input is act_bsh (sample_id, pos, det, vec) and the spine (sample_id, ...), one row per
 sample; a sample without a detected token pools to zeros. mean, max and last are partial
-aggregates and never hold a sequence; ema folds a sample's ordered tokens, and rolling is
-a frame of w rows, so their memory is that of one sample.
+aggregates and never hold a sequence; ema and rolling fold a sample's ordered tokens, so
+their memory is that of one sample. Vectors are never exploded into rows of numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ("sample_id",)
@@ -25,6 +26,19 @@ def _doubles(vec: str | Column = "vec") -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 
 
+def layer_mean(vec: str) -> Column:
+    """Aggregate: the elementwise mean of vectors."""
+    return vector_to_array(Summarizer.mean(array_to_vector(_doubles(vec))))
+
+
+def layer_max(vec: str) -> Column:
+    """Aggregate: the elementwise maximum of vectors; NaN wins."""
+    nan = array_to_vector(F.transform(vec, lambda x: F.when(F.isnan(x), 1.0).otherwise(0.0)))
+    plain = array_to_vector(F.transform(_doubles(vec), lambda x: F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x)))
+    value = lambda v, m: F.when(m > 0, F.lit(float("nan"))).when(v <= LOWEST, F.lit(float("-inf"))).otherwise(v)
+    return F.zip_with(vector_to_array(Summarizer.max(plain)), vector_to_array(Summarizer.max(nan)), value)
+
+
 def width(tokens: DataFrame) -> Column:
     """Scalar subquery: the width of the vectors."""
     return tokens.agg(F.max(F.size("vec"))).scalar()
@@ -87,22 +101,42 @@ def rolling(tokens: DataFrame, spine: DataFrame, window_size: int = 10, pad_to:
         raise ValueError("window_size must be positive")
     if pad_to not in ("batch_max", "none"):
         raise ValueError("pad_to is 'batch_max' or 'none'")
-    rows = tokens.select(*keys, F.col("pos").cast("int").alias("pos"), "det", _doubles().alias("x"))
+    t = F.sort_array(F.collect_list(F.struct("pos", "det", _doubles().alias("x"))))
+    packed = tokens.groupBy(*keys).agg(t.alias("t"), (F.max("pos") + 1).alias("n"))
+    extra = F.lit(0)
     if pad_to == "batch_max":
-        lengths = rows.groupBy(*keys).agg((F.max("pos") + 1).alias("n"), F.first("x").alias("x"))
-        longest = lengths.agg(F.max("n")).scalar()
-        extra = F.least(F.lit(window_size - 1), longest - F.col("n"))
-        places = F.when(extra > 0, F.sequence(F.col("n"), F.col("n") + extra - 1)).otherwise(F.array().cast("array<int>"))
-        padding = lengths.select(*keys, F.explode(places).alias("pos"), F.lit(False).alias("det"), "x")
-        rows = rows.unionByName(padding)
-    each = rows.select(*keys, "pos", "det", F.posexplode("x").alias("dim", "x"))
-    frame = W.partitionBy(*keys, "dim").orderBy("pos").rowsBetween(-(window_size - 1), 0)
-    means = each.select(*keys, "dim", F.avg(F.when(F.col("det"), F.col("x"))).over(frame).alias("mean"))
-    best = means.groupBy(*keys, "dim").agg(F.max("mean").alias("best")).where("best IS NOT NULL")
-    pooled = best.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "best"))), lambda s: s["best"]).alias("vec"))
+        longest = tokens.agg(F.max("pos") + 1).scalar()
+        extra = F.greatest(F.least(F.lit(window_size - 1), longest - F.col("n")), F.lit(0))
+    vectors, detected = F.flatten(F.transform("t", lambda r: r["x"])), F.transform("t", lambda r: r["det"].cast("int"))
+    pooled = packed.select(*keys, _best_windows(window_size)(vectors, detected, extra.cast("int")).alias("vec")).where("vec IS NOT NULL")
     return filled(pooled, tokens, spine, keys)
 
 
+def _best_windows(size: int):  # noqa: ANN202
+    """Arrow UDF on a sample's vectors, one after the other: the elementwise maximum of the window means; null without any."""
+
+    @F.pandas_udf("array<double>")
+    def best(vectors: pd.Series, detected: pd.Series, extra: pd.Series) -> pd.Series:
+        out = []
+        for flat, det, more in zip(vectors, detected, extra):
+            det = np.concatenate([np.asarray(det, bool), np.zeros(more, bool)])
+            if not det.any():
+                out.append(None)
+                continue
+            x = np.zeros((len(det), len(flat) // (len(det) - more)))
+            x[: len(det) - more] = np.asarray(flat, float).reshape(-1, x.shape[1])
+            x[~det] = 0
+            sums, counts = x.copy(), det.astype(float)
+            for k in range(1, min(size, len(det))):  # not by running sums, in which one NaN would stay
+                sums[k:] += x[:-k]
+                counts[k:] += det[:-k]
+            held = counts > 0
+            out.append((sums[held] / counts[held, None]).max(0))
+        return pd.Series(out, dtype=object)
+
+    return best
+
+
 POOLS = {"mean": mean, "max": maximum, "last_token": last_token, "ema": ema, "rolling": rolling}
 
 

@@ -4,6 +4,10 @@ Messages are merged and rendered natively; every rendered piece knows its messag
 content spans are exact by construction. Tokens come from an Arrow stage, one row each:
 (sample_id, pos, token_id, token, char_start, char_end, msg_idx, role_id), with -1 where
 no message or role is. A sample without tokens is a row of the samples table only.
+
+The Arrow stage has a whole sample at hand, so what masks need of a token's neighbours (the
+role dilated by the template's padding, places in the message) can be had from it, without
+a window or a shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -145,14 +151,34 @@ _LOSSLESS = re.compile(r"[ \t\n\f\r]+|[A-Za-z0-9_]+|[^ \t\n\f\rA-Za-z0-9_]+")
 Encoding = tuple[list[int], list[int], list[int]]
 
 
+_MEMO = 200_000
+_IDS: dict[str, int] = {}
+
+
 def lossless(text: str) -> Encoding:
     """(ids, starts, ends): runs of white space, of ASCII word characters and of all else; ids are hashes of the token."""
-    ids, starts, ends = [], [], []
-    for m in _LOSSLESS.finditer(text):
-        ids.append(xxhash.xxh3_64_intdigest(m.group()) >> 1)
-        starts.append(m.start())
-        ends.append(m.end())
-    return ids, starts, ends
+    tokens = _LOSSLESS.findall(text)
+    ids = list(map(_IDS.get, tokens))
+    if None in ids:
+        if len(_IDS) > _MEMO:
+            _IDS.clear()
+        for token in tokens:
+            if token not in _IDS:
+                _IDS[token] = xxhash.xxh3_64_intdigest(token) >> 1
+        ids = [_IDS[t] for t in tokens]
+    ends = list(accumulate(map(len, tokens)))
+    return ids, [0, *ends[:-1]] if ends else [], ends
+
+
+def lossless_sums(samples: DataFrame) -> DataFrame:
+    """(sample_id, n, chars, starts) of the lossless tokens of (sample_id, text): how many there are, their characters, and the
+    sum of their starts. Native; no row for each token."""
+    tokens = F.regexp_extract_all("text", F.lit(_LOSSLESS.pattern), F.lit(0))
+    sizes = samples.select("sample_id", F.transform(tokens, lambda t: F.length(t)).alias("sizes"))
+    # A token's length is added to the start of every later one.
+    later = F.transform("sizes", lambda n, i: n.cast("bigint") * (F.size("sizes") - 1 - i))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return sizes.select("sample_id", F.size("sizes").cast("bigint").alias("n"), add(F.col("sizes")).alias("chars"), add(later).alias("starts"))
 
 
 def tokenizer_file(path: str) -> Callable[[str], Encoding]:
@@ -170,30 +196,73 @@ def tokenizer_file(path: str) -> Callable[[str], Encoding]:
     return encode
 
 
-def tokenize(samples: DataFrame, encode: Callable[[str], Encoding] = lossless) -> DataFrame:
-    """One row per token of (sample_id, text, spans). A token has the role of the content it overlaps. Narrow: no shuffle."""
+#: Columns of places: of a token in its message, from either end from 1 on, and of the last message that has tokens.
+PLACES = "msg_up int, msg_down int, last_msg int"
+
+
+def dilated(roles: np.ndarray, padding: tuple[int, int]) -> np.ndarray:
+    """Roles of a sample's tokens, each spread over `left` tokens before and `right` after it; of several, assistant goes
+    before user before system."""
+    left, right = padding
+    n, out = len(roles), roles.copy()
+    at = np.arange(n)
+    lo, hi = np.maximum(at - right, 0), np.minimum(at + left + 1, n)
+    for k in sorted(ROLE_IDS.values()):
+        seen = np.concatenate([[0], np.cumsum(roles == k)])
+        out[seen[hi] > seen[lo]] = k
+    return out
+
+
+def _message_places(messages: np.ndarray) -> list[np.ndarray]:
+    """The PLACES of a sample's tokens. The tokens of a message, and those of none, may lie apart."""
+    order = np.argsort(messages, kind="stable")
+    ordered = messages[order]
+    first = np.searchsorted(ordered, ordered, "left")
+    size = np.searchsorted(ordered, ordered, "right") - first
+    up, down = np.empty(len(messages), np.int32), np.empty(len(messages), np.int32)
+    up[order] = np.arange(len(messages)) - first + 1
+    down[order] = size - (np.arange(len(messages)) - first)
+    return [up, down, np.full(len(messages), messages.max(initial=-1), np.int32)]
+
+
+def tokenize(samples: DataFrame, encode: Callable[[str], Encoding] = lossless, padding: tuple[int, int] | None = None, bos_ids: Sequence[int] = BOS_IDS, places: bool = False) -> DataFrame:
+    """One row per token of (sample_id, text, spans). A token has the role of the content it overlaps. With padding also
+    role_id_padded, as with_padded_roles() gives it, and with places the columns of PLACES. Narrow: no shuffle."""
     id_type = samples.schema["sample_id"].dataType.simpleString()
-    names = ["sample_id", "pos", *[x.split()[0] for x in TOKEN.split(", ")]]
+    schema = f"sample_id {id_type}, pos int, {TOKEN}" + (", role_id_padded tinyint" if padding else "") + (f", {PLACES}" if places else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for k, (text, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            sizes, texts, columns = [], [], [[] for _ in names[2:]]
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids, starts, ends = encode(text or "")
-                spans = [(i, s["role_id"], s["s"], s["e"]) for i, s in enumerate(spans or []) if s["e"] > s["s"]]
-                at = 0
-                for pos, (token, s, e) in enumerate(zip(ids, starts, ends)):
-                    while at < len(spans) and spans[at][3] <= s:
-                        at += 1
-                    inside = at < len(spans) and spans[at][2] < e
-                    values = (k, pos, token, text[s:e], s, e, spans[at][0] if inside else -1, spans[at][1] if inside else -1)
-                    for column, v in zip(rows, values):
-                        column.append(v)
-            types = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8()]
-            columns = [pa.array(c, t) for c, t in zip(rows[1:], types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *columns], names)
-
-    return spread(samples.select("sample_id", "text", "spans")).mapInArrow(run, f"sample_id {id_type}, pos int, {TOKEN}")
+                sizes.append(len(ids))
+                texts.extend([text[a:b] for a, b in zip(starts, ends)])
+                start, end = np.array(starts, np.int32), np.array(ends, np.int32)
+                held = [(i, s["role_id"], s["s"], s["e"]) for i, s in enumerate(spans or []) if s["e"] > s["s"]]
+                which, role, lo, hi = np.array([*held, (-1, -1, 2**31 - 1, 2**31 - 1)], np.int64).T
+                at = np.searchsorted(hi, start, "right")
+                inside = lo[at] < end
+                messages, roles = np.where(inside, which[at], -1).astype(np.int32), np.where(inside, role[at], -1).astype(np.int8)
+                own = [np.array(ids, np.int64), None, start, end, messages, roles]
+                if padding:
+                    padded = dilated(roles, padding)
+                    if ids and ids[0] in bos_ids:
+                        padded[0] = 0
+                    own.append(padded)
+                if places:
+                    own.extend(_message_places(messages))
+                for column, values in zip(columns, own):
+                    column.append(values)
+            sizes = np.array(sizes, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            arrays = [pa.array(texts, pa.string()) if n == "token" else pa.array(np.concatenate(c) if c else []) for n, c in zip(names[2:], columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32)), *[a.cast(t) for a, t in zip(arrays, types)]], names)
+
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), *([pa.int8()] if padding else []), *([pa.int32()] * 3 if places else [])]
+    return spread(samples.select("sample_id", "text", "spans")).mapInArrow(run, schema)
 
 
 def with_padded_roles(tokens: DataFrame, padding: tuple[int, int], bos_ids: Sequence[int] = BOS_IDS) -> DataFrame:

@@ -78,6 +78,14 @@ def _cat(spark, sf):  # noqa: ANN001, ANN202
     return both.lengths()
 
 
+def _cat_vectors(spark, sf):  # noqa: ANN001, ANN202
+    """One sample of id 0, the mean of all, before all samples twice."""
+    pooled = layered(spark, sf).select_layer(10).mean("s")
+    whole = pooled.data.agg(pool.layer_mean("vec").alias("vec")).select(F.lit(0).cast("bigint").alias("sample_id"), "vec")
+    one = A.Activations(whole, "bh", whole.select("sample_id"))
+    return _dims(A.cat([one, pooled, pooled]).data)
+
+
 def _padded(spark, sf):  # noqa: ANN001, ANN202
     ids = spine(spark, sf).where("sample_id < 20")
     p = layered(spark, sf).select_layer(10).padded(ids)
@@ -131,6 +139,7 @@ QUERIES = {
     "activations_flatten": _acts(lambda a: a.mean("s").flatten()),
     "activations_detected_counts": _detected,
     "activations_cat": _cat,
+    "activations_cat_vectors": _cat_vectors,
     "activations_padded_batch": _padded,
     "activations_padded_batches": _padded_batches,
     "activations_finite_check": _finite,
@@ -190,6 +199,9 @@ SELECT sample_id, CAST(2 * i + dim AS INT) AS dim, round(layer * v, 9) AS x FROM
     "activations_detected_counts": TOKENS + "SELECT sample_id, count(*) FILTER (WHERE det) AS n FROM t GROUP BY sample_id",
     "activations_cat": TOKENS
     + ", c AS (SELECT sample_id, count(*) AS n FROM t GROUP BY sample_id) SELECT sample_id, n FROM c UNION ALL SELECT sample_id + (SELECT max(sample_id) + 1 FROM c), n FROM c",
+    "activations_cat_vectors": TOKENS
+    + f""", p AS (SELECT sample_id, dim, coalesce(avg(x * 10) FILTER (WHERE det), 0.0::DOUBLE) AS x FROM e GROUP BY ALL), m AS (SELECT max(sample_id) + 1 AS n FROM p)
+SELECT 0 AS sample_id, dim, round(avg(x), 9) AS x FROM p GROUP BY dim UNION ALL SELECT sample_id + 1, dim, round(x, 9) FROM p UNION ALL SELECT sample_id + 1 + n, dim, round(x, 9) FROM p, m""",
     "activations_padded_batch": TOKENS
     + """SELECT sample_id, (SELECT max(pos) + 1 FROM t WHERE sample_id < 20) AS length, count(*) FILTER (WHERE det) AS detected FROM t WHERE sample_id < 20 GROUP BY sample_id""",
     "activations_padded_batches": TOKENS

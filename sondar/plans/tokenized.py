@@ -35,8 +35,7 @@ def _render_llama(spark, sf):  # noqa: ANN001, ANN202
 
 
 def _counts(spark, sf):  # noqa: ANN001, ANN202
-    t = T.tokenize(chats(spark, sf))
-    return t.groupBy("sample_id").agg(F.count("*").alias("n"), F.max("char_end").alias("chars"), F.sum("char_start").alias("starts"))
+    return T.lossless_sums(chats(spark, sf)).where("n > 0")
 
 
 def _roles(spark, sf):  # noqa: ANN001, ANN202
@@ -45,10 +44,24 @@ def _roles(spark, sf):  # noqa: ANN001, ANN202
 
 
 def _padded_roles(spark, sf):  # noqa: ANN001, ANN202
-    t = T.with_padded_roles(T.tokenize(chats(spark, sf)), (4, 1))
+    t = T.tokenize(chats(spark, sf), padding=(4, 1))
+    return t.groupBy("sample_id", F.col("role_id_padded").cast("int").alias("role_id")).agg(F.count("*").alias("n"))
+
+
+def _windowed_roles(spark, sf):  # noqa: ANN001, ANN202
+    """The dilation by windows, for tokens that come without it."""
+    t = T.with_padded_roles(T.tokenize(prompts(spark, sf)), (4, 1))
     return t.groupBy("sample_id", F.col("role_id_padded").cast("int").alias("role_id")).agg(F.count("*").alias("n"))
 
 
+def _rows(spark, sf):  # noqa: ANN001, ANN202
+    """The token rows themselves, each text's in one hash."""
+    t = T.tokenize(prompts(spark, sf)).select("sample_id", F.struct("pos", "token", "char_start", "char_end").alias("t"))
+    rows = t.groupBy("sample_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    line = lambda x: F.concat_ws("|", x["pos"].cast("string"), x["token"], x["char_start"].cast("string"), x["char_end"].cast("string"))
+    return rows.select("sample_id", F.md5(F.array_join(F.transform("t", line), ";")).alias("tokens"))
+
+
 def _truncate(side: str):  # noqa: ANN202
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = T.truncate(T.tokenize(chats(spark, sf_dir)), 64, side, None)
@@ -88,7 +101,7 @@ def _range_join(spark, sf):  # noqa: ANN001, ANN202
 def _mask(source, build):  # noqa: ANN001, ANN202
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = source(spark, sf_dir)
-        t = T.with_padded_roles(T.tokenize(s), (4, 1)) if source is chats else T.tokenize(s)
+        t = T.tokenize(s, padding=(4, 1), places=True) if source is chats else T.tokenize(s)
         m = M.apply(t, build(), s)
         chosen = m.where("det").groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
         return chosen
@@ -126,6 +139,8 @@ QUERIES = {
     "tokens_render_gemma": _render_gemma,
     "tokens_render_llama": _render_llama,
     "tokens_counts": _counts,
+    "tokens_window_dilation": _windowed_roles,
+    "tokens_rows": _rows,
     "tokens_roles": _roles,
     "tokens_role_dilation": _padded_roles,
     "tokens_truncate_left": _truncate("left"),
@@ -147,6 +162,14 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY sample_id ORDER BY i) - 1 AS k FROM
 mm AS (SELECT sample_id, CAST(k AS INT) AS k, min(role) AS role, coalesce(string_agg(content, ' ' ORDER BY i) FILTER (WHERE content <> ''), '') AS content FROM g GROUP BY sample_id, k)
 """
 
+# Leading system text is the user's, before two line ends; a dialogue that doesn't begin with the user gets an empty turn.
+_MERGED_GEMMA = _MERGED.replace(
+    "l AS (SELECT",
+    """f AS (SELECT sample_id, i, CASE WHEN i = 1 AND role = 'system' THEN 'user' ELSE role END AS role, CASE WHEN i = 1 AND role = 'system' THEN content || chr(10) || chr(10) ELSE content END AS content FROM r),
+l AS (SELECT""",
+).replace("AS new FROM r)", "AS new FROM f)") + """, led AS (SELECT sample_id, k, role, content FROM mm UNION ALL SELECT sample_id, -1, 'user', '' FROM mm WHERE k = 0 AND role <> 'user')
+"""
+
 _PIECES = _MERGED + """, c AS (SELECT *, count(*) OVER (PARTITION BY sample_id) = 1 AND role = 'user' AS bare FROM mm),
 p AS (SELECT sample_id, k, role, content, CASE WHEN bare THEN '' ELSE upper(role[1]) || role[2:] || ': ' END AS pre, CASE WHEN bare THEN '' ELSE chr(10) || chr(10) END AS post FROM c),
 sp AS (SELECT *, CAST(sum(length(pre) + length(content) + length(post)) OVER (PARTITION BY sample_id ORDER BY k) - length(post) - length(content) AS BIGINT) AS s FROM p),
@@ -216,6 +239,11 @@ ORACLES = {
     "tokens_render_plain": _PIECES + "SELECT sample_id, md5(text) AS text, length(text) AS chars FROM x",
     "tokens_render_llama": _MERGED
     + "SELECT sample_id, md5('<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || content || '<|eot_id|>', '' ORDER BY k)) AS text FROM mm GROUP BY sample_id",
+    "tokens_render_gemma": _MERGED_GEMMA
+    + "SELECT sample_id, md5('<bos>' || string_agg('<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10) || content || '<end_of_turn>' || chr(10), '' ORDER BY k)) AS text FROM led GROUP BY sample_id",
+    "tokens_window_dilation": _PROMPTS + ", w AS (SELECT t.sample_id, 1 AS role_id FROM t) SELECT sample_id, role_id, count(*) AS n FROM w GROUP BY ALL",
+    "tokens_rows": _PROMPTS
+    + "SELECT sample_id, md5(string_agg(pos || '|' || token || '|' || char_start || '|' || char_end, ';' ORDER BY pos)) AS tokens FROM t GROUP BY sample_id",
     "tokens_counts": _TOKENS + "SELECT sample_id, count(*) AS n, max(char_end) AS chars, CAST(sum(char_start) AS BIGINT) AS starts FROM t GROUP BY sample_id",
     "tokens_roles": _ROLED + "SELECT sample_id, msg_idx, role_id, count(*) AS n FROM tr GROUP BY ALL",
     "tokens_role_dilation": _MASKED + "SELECT sample_id, padded AS role_id, count(*) AS n FROM w GROUP BY ALL",

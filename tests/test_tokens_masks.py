@@ -1,8 +1,13 @@
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sondar.operators import masks as M
 from sondar.operators import tokens as T
+from tests.conftest import rows
 
 
 def chars(text):
@@ -111,3 +116,43 @@ def test_templates():
     assert T.detect_template("Meta-Llama-3") == "llama" and T.detect_template("", "<|im_start|> <think>") == "qwen3"
     with pytest.raises(ValueError):
         T.get_template(template="nope")
+
+
+def test_the_tokenizing_stage_gives_what_windows_give(spark):
+    rng = random.Random(3)
+    words = ["a", "bb", "Über", "x_y", "...", "中文", "\n", "  "]
+    data = [(i, [(rng.choice(["system", "user", "assistant"]), "".join(rng.choice(words) + rng.choice([" ", ""]) for _ in range(rng.randrange(9)))) for _ in range(rng.randrange(5))]) for i in range(60)]
+    s = T.rendered(spark.createDataFrame(data, "sample_id bigint, messages array<struct<role:string,content:string>>"), T.TEMPLATES["qwen"])
+    plain = T.tokenize(s)
+    full = T.tokenize(s, padding=(3, 2), places=True)
+    assert rows(full.select(*plain.columns)) == rows(plain)
+    assert rows(full.select("sample_id", "pos", "role_id_padded")) == rows(T.with_padded_roles(plain, (3, 2)).select("sample_id", "pos", "role_id_padded"))
+    for mask in (M.first_n_tokens(2), M.last_n_tokens(2), M.nth_message(-1), M.nth_message(-2), M.nth_message(1)):
+        assert rows(M.apply(full, mask).select("sample_id", "pos", "det")) == rows(M.apply(plain, mask).select("sample_id", "pos", "det"))
+    sums = plain.groupBy("sample_id").agg(F.count("*").alias("n"), F.max("char_end").cast("bigint").alias("chars"), F.sum("char_start").alias("starts"))
+    assert rows(T.lossless_sums(s).where("n > 0")) == rows(sums)
+
+
+def test_text_masks_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("aab. \n1") for _ in range(rng.randrange(40)))
+        ids, starts, ends = T.lossless(text)
+        order = list(range(len(ids)))
+        rng.shuffle(order)
+        needle = rng.choice(["a", "aa", ". ", "ab", "b"])
+        pick = [starts[i] for i in order], [ends[i] for i in order]
+        bits = M._bits([M.contains(needle), M.regex("[0-9]+|a{2}"), M.after(needle), M.before(needle, inclusive=True)], text, *(np.array(x, int) for x in (order, *pick)))
+        spans = [m.start() for m in re.finditer(f"(?={re.escape(needle)})", text)]
+        at = text.find(needle)
+        for k, i in enumerate(order):
+            s, e = starts[i], ends[i]
+            first = next((j for j in range(len(ids)) if starts[j] <= at + len(needle) < ends[j]), None) if at >= 0 else None
+            until = next((j for j in range(len(ids)) if starts[j] <= at + len(needle) - 1 < ends[j]), None) if at >= 0 else None
+            want = (
+                any(a < e and a + len(needle) > s for a in spans),
+                any(m.start() < e and m.end() > s for m in re.finditer("[0-9]+|a{2}", text)),
+                first is not None and i >= first,
+                until is not None and i <= until,
+            )
+            assert tuple(bool(bits[k] >> j & 1) for j in range(4)) == want
