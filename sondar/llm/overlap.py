@@ -12,8 +12,12 @@ tolerance meets, at any length. Pairs that meet are then held against their word
             -> overlap fraction -> word edit distance -> members of each wording
 
 Copies are folded into representatives before any join, so a wording that a third of
-the rows have is one row there; digests of different wordings are spread by the hash
-of the digest, and AQE splits what stays skewed.
+the rows have is one row there. A digest that very many different wordings share on both
+sides (an opening of a third of all records, say) would pair all of them. Such digests are
+estimated on a sample and split: of 128 parities of classes of words a pair within the
+tolerance differs in 2k at most, so of 2k + 2 segments of the parities one is equal, and
+the records meet by digest and segment instead. No pair is lost by it, and the sample
+decides only where to split.
 
 Defined results
     null or unknown split           -> in no split, never reported
@@ -44,6 +48,11 @@ from sondar.session import small, spread, written
 TOLERANCE = 10
 #: Ratio of neighbouring classes of length; a record meets one or two of them.
 CLASS_RATIO = 1.5
+#: Pairs that a digest may form before it is split, estimated on one record in SAMPLE of either side.
+MANY_PAIRS = 4_000_000
+SAMPLE = 32
+#: Most segments of 64 parities; longer records, with more edits, are not split.
+MOST_SEGMENTS = 16
 
 _MEMO = 500_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -70,8 +79,8 @@ class Cutter:
     """Digests of stretches of words, for many records at once."""
 
     def __init__(self, tolerance: int = TOLERANCE) -> None:
-        if tolerance < 3:
-            raise ValueError("tolerance must be at least 3")
+        if not 3 <= tolerance <= 100:
+            raise ValueError("tolerance must be from 3 to 100")
         self.tolerance = tolerance
         self.memo: dict[str, int] = {}
 
@@ -112,7 +121,8 @@ class Cutter:
 
     def digests(self, texts: list[str], cut: bool) -> tuple[np.ndarray, ...]:
         """(record, digest, position, length of the stretch, words of the record, low, high): the pieces of each record
-        if `cut`, else every stretch that can equal a piece of a partner. The digest takes in the length and its class.
+        if `cut`, else every stretch that can equal a piece of a partner. The digest takes in the length and the class of the
+        held-out record's length, which is also in its lowest bits.
         low and high are the parities of how many words of the record fall into each of 128 classes of words."""
         words = [t.split(" ") for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -134,6 +144,7 @@ class Cutter:
                 digest = (sums[begin + length] - sums[begin]) * unpowers[at]
                 digest = (digest ^ (digest >> np.uint64(29))) * _A + (length | of << 16).astype(np.uint64)
                 digest = (digest ^ (digest >> np.uint64(32))) * _B
+                digest = digest >> np.uint64(_CLASS_BITS) << np.uint64(_CLASS_BITS) | of.astype(np.uint64)
                 out.append((r, digest.view(np.int64), at, length, sizes[r], low[r], high[r]))
         if not out:
             empty = np.zeros(0, np.int64)
@@ -141,8 +152,9 @@ class Cutter:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: Bits of a position or a length in words, and of a stretch's length.
-_BITS, _LEN_BITS = 28, 8
+#: Bits of a position or a length in words, of a stretch's length with the mark of a split digest, and of a class of length.
+_BITS, _LEN_BITS, _CLASS_BITS = 28, 8, 6
+_SPLIT = 1 << (_LEN_BITS - 1)
 
 
 def digests_of(records: DataFrame, cut: bool, tolerance: int = TOLERANCE) -> DataFrame:
@@ -173,7 +185,37 @@ def _at(place: Column) -> Column:
 
 
 def _length(place: Column) -> Column:
-    return place.bitwiseAND(F.lit((1 << _LEN_BITS) - 1))
+    return place.bitwiseAND(F.lit(_SPLIT - 1))
+
+
+def segments(tolerance: int) -> list[int]:
+    """For each class of length the segments of 64 parities, one more than the edits a pair of the class may have; 0 where
+    they would be too many."""
+    most = [int(CLASS_RATIO ** (c + 1)) // (tolerance - 1) + 1 if c < 40 else MOST_SEGMENTS + 1 for c in range(1 << _CLASS_BITS)]
+    return [n if n <= MOST_SEGMENTS else 0 for n in most]
+
+
+def _segments_of(length_class: Column, tolerance: int) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in segments(tolerance)]), (length_class + 1).cast("int"))
+
+
+#: Value of segment j of n in each half of the parities.
+_SEGMENT = "shiftrightunsigned(if(j < n, {0}, {1}), CAST((j % n) * (64 div n) AS INT)) & if(j % n = n - 1, -1L, shiftleft(1L, CAST(64 div n AS INT)) - 1L)"
+
+
+def _common(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(digest, many) of the digests that form very many pairs, by a sample of the records of both sides."""
+    counts = left.groupBy("digest").agg(F.count("*").alias("a")).join(right.groupBy("digest").agg(F.count("*").alias("b")), "digest")
+    return counts.where(F.col("a") * F.col("b") >= MANY_PAIRS / SAMPLE**2).select("digest", F.lit(True).alias("many"))
+
+
+def _split(digests: DataFrame, common: DataFrame, tolerance: int) -> DataFrame:
+    """digests with a key in place of the digest: the digest itself, or for common ones one for each segment of the parities."""
+    n = _segments_of(F.col("digest").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)), tolerance)
+    marked = digests.join(common, "digest", "left").withColumn("n", F.when(F.col("many"), n).otherwise(0))
+    keys = F.expr(f"if(n > 0, transform(sequence(0, 2 * n - 1), j -> xxhash64(digest, j, {_SEGMENT.format('low', 'high')})), array(digest))")
+    place = F.when(F.col("n") > 0, F.col("place").bitwiseOR(F.lit(_SPLIT))).otherwise(F.col("place"))
+    return marked.select(F.explode(keys).alias("key"), "rep", place.alias("place"), "low", "high")
 
 
 def within_edits(a: list[str], b: list[str], most: int) -> bool:
@@ -231,16 +273,19 @@ def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("id").alias("rep"), "held_out", "words"), members
 
 
-def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(train_id, held_out_id, overlap) of records (id, held_out, words): the pairs across the
-    two sides whose words are the same or differ in at most one word in `tolerance`."""
+def _close(records: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """(e, t, overlap) of the representatives of held-out and train wordings within the tolerance, and the members
+    (held_out, rep, id) of wordings with copies."""
     records = records.where("held_out IS NOT NULL AND words <> '' AND id IS NOT NULL")
     records = written(records.select("id", "held_out", "words", F.md5("words").alias("mark")), "records")
     reps, members = _representatives(records)
     # Records of a pair are about as long as each other. With the class of length in the digest, one that very
     # many records share falls apart by length, and pairs of too different lengths are hardly formed.
-    left = digests_of(reps.where("held_out"), False, tolerance).select("digest", F.col("rep").alias("e"), F.col("place").alias("e_place"), F.col("low").alias("e_low"), F.col("high").alias("e_high"))
-    right = digests_of(reps.where("NOT held_out"), True, tolerance).select("digest", F.col("rep").alias("t"), F.col("place").alias("t_place"), F.col("low").alias("t_low"), F.col("high").alias("t_high"))
+    drawn = reps.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(SAMPLE)) == 0)
+    common = small(written(_common(*(digests_of(drawn.where(F.col("held_out") == side), not side, tolerance) for side in (True, False))), "common"))
+    left, right = (_split(digests_of(reps.where(F.col("held_out") == side), not side, tolerance), common, tolerance) for side in (True, False))
+    left = left.select("key", F.col("rep").alias("e"), F.col("place").alias("e_place"), F.col("low").alias("e_low"), F.col("high").alias("e_high"))
+    right = right.select("key", F.col("rep").alias("t"), F.col("place").alias("t_place"), F.col("low").alias("t_low"), F.col("high").alias("t_high"))
     e_n, t_n = _words(F.col("e_place")), _words(F.col("t_place"))
     most = F.floor(F.greatest(e_n, t_n) / tolerance)
     moved = _at(F.col("e_place")) - _at(F.col("t_place"))
@@ -249,13 +294,13 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     # A replaced word turns at most two parities, an added or dropped one turns one.
     turned = F.bit_count(F.col("e_low").bitwiseXOR(F.col("t_low"))) + F.bit_count(F.col("e_high").bitwiseXOR(F.col("t_high")))
     near = near & (turned <= 2 * most - F.abs(e_n - t_n))
-    pairs = (
-        left.join(right, "digest")
-        .where(near)
-        .select("e", "t", _length(F.col("e_place")).alias("len"), F.greatest(e_n, t_n).alias("n"))
-        .groupBy("e", "t")
-        .agg((F.sum("len") / F.max("n")).alias("overlap"))
-    )
+    n = _segments_of(F.floor(F.log(e_n) / F.log(F.lit(CLASS_RATIO))), tolerance)
+    # Records that meet in several segments of a split digest share that stretch once.
+    meetings = F.expr(f"aggregate(sequence(0, 2 * n - 1), 0, (a, j) -> a + if(({_SEGMENT.format('xl', 'xh')}) = 0, 1, 0))")
+    shared = _length(F.col("e_place")) / F.when(F.col("e_place").bitwiseAND(F.lit(_SPLIT)) > 0, meetings).otherwise(1)
+    pairs = left.join(right, "key").where(near)
+    pairs = pairs.withColumns({"n": n, "xl": F.col("e_low").bitwiseXOR(F.col("t_low")), "xh": F.col("e_high").bitwiseXOR(F.col("t_high"))})
+    pairs = pairs.select("e", "t", shared.alias("len"), F.greatest(e_n, t_n).alias("size")).groupBy("e", "t").agg((F.sum("len") / F.max("size")).alias("overlap"))
     pairs = written(pairs, "pairs")
 
     def words_of(side: str, condition: str) -> DataFrame:
@@ -275,7 +320,13 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
             out.append(within_edits(x, y, max(len(x), len(y)) // tolerance))
         return pd.Series(out, dtype=bool)
 
-    close = compared.where(same("e_words", "t_words")).select("e", "t", "overlap")
+    return compared.where(same("e_words", "t_words")).select("e", "t", "overlap"), members
+
+
+def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(train_id, held_out_id, overlap) of records (id, held_out, words): the pairs across the
+    two sides whose words are the same or differ in at most one word in `tolerance`."""
+    close, members = _close(records, tolerance)
     e_members = members.where("held_out").select(F.col("rep").alias("e"), F.col("id").alias("e_id"))
     t_members = members.where("NOT held_out").select(F.col("rep").alias("t"), F.col("id").alias("t_id"))
     return (
@@ -290,6 +341,23 @@ def overlaps(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     )
 
 
+def partners(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(held_out_id, partners): how many train records each held-out record overlaps with, from the sizes of the wordings;
+    pairs of copies aren't formed. A record isn't its own partner."""
+    close, members = _close(records, tolerance)
+    close, members = written(close, "close"), members.distinct()
+    sizes = members.where("NOT held_out").groupBy(F.col("rep").alias("t")).agg(F.count("*").alias("size"))
+    summed = close.join(sizes, "t", "left").groupBy("e").agg(F.sum(F.coalesce("size", F.lit(1))).alias("partners"))
+    ids = lambda rep, condition: members.where(condition).select(F.col("rep").alias(rep), F.col("id").alias(f"{rep}_id"))
+    each = summed.join(ids("e", "held_out"), "e", "left").select(F.coalesce("e_id", "e").alias("held_out_id"), "e", "partners")
+    # Ids that stand on both sides.
+    both = records.where("held_out IS NOT NULL AND id IS NOT NULL").groupBy(F.col("id").alias("held_out_id")).agg(F.min("held_out").alias("a"), F.max("held_out").alias("b")).where("a <> b").select("held_out_id")
+    twice = each.join(small(both), "held_out_id", "left_semi").join(close.select("e", "t"), "e").join(ids("t", "NOT held_out"), "t", "left")
+    own = twice.where(F.coalesce("t_id", "t") == F.col("held_out_id")).groupBy("held_out_id").agg(F.count("*").alias("own"))
+    left = F.col("partners") - F.coalesce("own", F.lit(0))
+    return each.join(small(own), "held_out_id", "left").select("held_out_id", left.alias("partners")).where("partners > 0")
+
+
 def dialogue_records(dialogues: DataFrame) -> DataFrame:
     """(id, held_out, words) of dialogues (sample_id, split, messages)."""
     split = split_name(F.col("split"))
@@ -308,10 +376,9 @@ def found(dialogues: DataFrame) -> DataFrame:
 
 def report(dialogues: DataFrame, name: Column) -> DataFrame:
     """(split, dataset, pairs, records): overlaps of each held-out split and dataset with the train split."""
-    pairs = overlaps(dialogue_records(dialogues)).select("train_id", "held_out_id").distinct()
-    about = dialogues.select(F.col("sample_id").alias("held_out_id"), split_name(F.col("split")).alias("split"), name.alias("dataset"))
+    about = dialogues.select(F.col("sample_id").alias("held_out_id"), split_name(F.col("split")).alias("split"), name.alias("dataset")).where("split <> 'train'")
     return (
-        pairs.join(about, "held_out_id")
+        partners(dialogue_records(dialogues)).join(about, "held_out_id")
         .groupBy("split", "dataset")
-        .agg(F.count("*").alias("pairs"), F.countDistinct("held_out_id").alias("records"))
+        .agg(F.sum("partners").alias("pairs"), F.countDistinct("held_out_id").alias("records"))
     )

@@ -152,3 +152,38 @@ def test_identifiers_are_integers_of_field_and_canonical_value():
     assert formats.compact(d.tuple_of([("a", "string", "x"), ("b", "string", "Y")])) == formats.compact(d.tuple_of([("b", "string", "y"), ("a", "string", " X")]))
     assert d.identifier("a", "number", "1e1") != d.identifier("a", "string", "1e1")
     assert formats.canonical("Ａb-ß İ 2²") == formats.canonical("ａB SS i̇2")
+
+
+def test_split_digests_lose_no_pair(spark, monkeypatch):
+    """A third of all records open with the same words, at many lengths and edits; every digest counts as common."""
+    rng, data = random.Random(21), []
+    opening = [f"open{k}" for k in range(12)]
+    for k in range(60):
+        n = rng.choice([5, 14, 20, 33, 50, 90, 140])
+        base = (opening + [f"v{rng.randrange(3000)}" for _ in range(n)])[: max(n, 3)]
+        data.append((10 * k, "train", " ".join(base)))
+        data.append((10 * k + 1, "test", " ".join(edit(base, len(base) // 10, rng))))
+        data.append((10 * k + 2, "test", " ".join(edit(base, min(len(base), len(base) // 10 + 2), rng))))
+    monkeypatch.setattr(overlap, "SAMPLE", 1)
+    monkeypatch.setattr(overlap, "MANY_PAIRS", 1e18)
+    want = sorted(tuple(r) for r in overlap.found(dialogues(spark, data)).collect())
+    plain = {(r.train_id, r.held_out_id): r.overlap for r in overlap.overlaps(overlap.dialogue_records(dialogues(spark, data))).collect()}
+    monkeypatch.setattr(overlap, "MANY_PAIRS", 1)
+    assert sorted(tuple(r) for r in overlap.found(dialogues(spark, data)).collect()) == want == brute(data)
+    split = {(r.train_id, r.held_out_id): r.overlap for r in overlap.overlaps(overlap.dialogue_records(dialogues(spark, data))).collect()}
+    assert set(split) == set(plain) and all(abs(split[p] - plain[p]) < 1e-9 for p in plain)
+
+
+def test_partners_are_counted_from_wordings(spark):
+    same = "these words are the same in all of them"
+    data = [(i, "train", same) for i in range(5)] + [(3, "test", same), (100, "dev", same), (101, "dev", same), (102, "dev", "other words altogether here now")]
+    got = sorted(map(tuple, overlap.partners(overlap.dialogue_records(dialogues(spark, data))).collect()))
+    assert got == [(3, 4), (100, 5), (101, 5)]
+    pairs = overlap.overlaps(overlap.dialogue_records(dialogues(spark, data))).select("train_id", "held_out_id").distinct().count()
+    report = {(r.split, r.dataset): (r.pairs, r.records) for r in overlap.report(dialogues(spark, data).withColumn("d", F.lit("a")), F.col("d")).collect()}
+    assert report == {("test", "a"): (4, 1), ("validation", "a"): (10, 2)} and pairs == 14
+
+
+def test_records_of_one_repeated_word(spark):
+    data = [(1, "train", "ha " * 3000), (2, "test", "HA " * 3000), (3, "test", "ha " * 2800), (4, "test", "ha " * 2600)]
+    assert [tuple(r) for r in overlap.found(dialogues(spark, data)).orderBy("sample_id_b").collect()] == [(1, 2), (1, 3)]
