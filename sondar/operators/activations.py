@@ -194,6 +194,26 @@ def cat(parts: Sequence[Activations]) -> Activations:
     return replace(first, data=union(data), spine=union(spines), metadata=metadata)
 
 
+def from_tensor(vectors: DataFrame, dims: str = "bh", layers: Sequence[int] | None = None, metadata: dict | None = None) -> Activations:
+    """From dense vectors (sample_id, [layer], vec) without a sequence axis."""
+    if "s" in dims:
+        raise ValueError("from_tensor takes no sequence axis: use from_padded or from_flat")
+    held = ["sample_id"] + (["layer"] if "l" in dims else [])
+    return Activations(vectors.select(*held, "vec"), dims, vectors.select("sample_id").distinct(), tuple(layers) if layers is not None else None, metadata)
+
+
+def from_flat(flat: DataFrame, offsets: DataFrame, detection: str | None = None, dims: str = "bsh", layers: Sequence[int] | None = None, metadata: dict | None = None) -> Activations:
+    """From tokens (i, [layer], vec, [detection]) in one running number i from 0 on, and offsets (sample_id, start, stop) of
+    the samples in it; samples may be empty. Without a detection column every token is detected."""
+    if "s" not in dims:
+        raise ValueError("from_flat needs a sequence axis")
+    numbers = offsets.where("stop > start").select("sample_id", F.col("start").alias("_start"), F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("i"))
+    det = F.col(detection).cast("boolean") if detection else F.lit(True)
+    held = ["layer"] if "l" in dims else []
+    data = flat.join(numbers, "i").select("sample_id", (F.col("i") - F.col("_start")).cast("int").alias("pos"), det.alias("det"), *held, "vec")
+    return Activations(data, dims, offsets.select("sample_id"), tuple(layers) if layers is not None else None, metadata)
+
+
 def from_padded(padded: DataFrame, dims: str, layers: Sequence[int] | None = None, attention: str | None = None, detection: str | None = None) -> Activations:
     """From (sample_id, [layer], vecs, masks...): kept are the tokens of the attention mask, else of the detection
     mask, else all; a token is detected by the detection mask, else if it is kept."""

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondar.session import written
+
 SEED = 42
 DIGITS = 2
 
@@ -49,14 +51,15 @@ def gather(df: DataFrame, indices: Sequence[int] | slice, order_by: str = "sampl
 
 
 def _positions(df: DataFrame, order_by: str) -> DataFrame:
-    """df with (pos): its rank by a column, from range partitions rather than one sorted task."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, order_by).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    """df with (pos): its rank by a column. Rows are range-partitioned and sorted once and written, as another evaluation
+    could cut other ranges; a row's place in its partition is in its running number."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = df.repartitionByRange(parts, order_by).sortWithinPartitions(order_by).withColumn("_id", F.monotonically_increasing_id())
+    held = written(ordered, "ordered").withColumns({"_part": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    # As many rows as partitions.
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    local = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(order_by)))
-    return local.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_start") + F.col("_rank") - 1).drop("_part", "_start", "_rank")
+    return held.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_start") + F.col("_rank")).drop("_part", "_start", "_rank", "_id")
 
 
 def ranked(df: DataFrame, seed: int = SEED, by: Sequence[str] = (), id_col: str = "sample_id", name: str = "rank", digits: int = DIGITS) -> DataFrame:

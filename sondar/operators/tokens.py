@@ -122,11 +122,14 @@ def pieces(messages: Column, template: Template = PLAIN) -> Column:
     return built
 
 
-def rendered(dialogues: DataFrame, template: Template = PLAIN, id_col: str = "sample_id", messages: str = "messages") -> DataFrame:
-    """(sample_id, text, spans): the text, and (msg_idx, role_id, s, e) of each message's content in it."""
+def rendered(dialogues: DataFrame, template: Template = PLAIN, id_col: str = "sample_id", messages: str = "messages", add_generation_prompt: bool = False) -> DataFrame:
+    """(sample_id, text, spans): the text, and (msg_idx, role_id, s, e) of each message's content in it. A generation prompt
+    opens the assistant's turn after all messages; without a template there is none."""
     m = dialogues.select(F.col(id_col).alias("sample_id"), merged(F.col(messages), template.fold_system).alias("m"))
     p = m.withColumn("p", pieces(F.col("m"), template))
     whole = F.concat(F.lit(template.start), F.array_join(F.transform("p", lambda x: F.concat(x["before"], x["content"], x["after"])), ""))
+    if add_generation_prompt and template is not PLAIN:
+        whole = F.concat(whole, F.lit(template.before.replace("{role}", dict(template.roles).get("assistant", "assistant"))))
     text = F.regexp_replace(whole, r"\s+$", "") if template is PLAIN else whole
     start = F.struct(F.lit(len(template.start)).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
@@ -265,6 +268,14 @@ def tokenize(samples: DataFrame, encode: Callable[[str], Encoding] = lossless, p
     return spread(samples.select("sample_id", "text", "spans")).mapInArrow(run, schema)
 
 
+def tokenize_dataset(dialogues: DataFrame, mask, template: Template = PLAIN, encode: Callable[[str], Encoding] = lossless, add_generation_prompt: bool = False) -> DataFrame:  # noqa: ANN001
+    """Tokens of (sample_id, messages) with (det) by a mask: rendered, tokenized with the template's padding, and masked."""
+    from sondar.operators import masks
+
+    samples = rendered(dialogues, template, add_generation_prompt=add_generation_prompt)
+    return masks.apply(tokenize(samples, encode, padding=template.padding, places=True), mask, samples)
+
+
 def with_padded_roles(tokens: DataFrame, padding: tuple[int, int], bos_ids: Sequence[int] = BOS_IDS) -> DataFrame:
     """tokens with (role_id_padded): a token has a role if one within `right` tokens before or `left` tokens after it has;
     of several, assistant goes before user before system. A first token that opens a sequence counts as system text."""

@@ -1,7 +1,9 @@
 """Neural probes on Spark: bounded training sets in one task, sweeps in parallel tasks, scoring on Arrow batches.
 
-A model trains on at most max_rows samples (tokens, for feature models), chosen by hash of
-the id where there are more; scoring covers every row, whole sequences grouped by sample.
+A model trains on at most max_rows samples (tokens, for feature models) and MAX_BYTES of
+vectors, chosen by hash of the id where there are more; scoring covers every row, whole
+sequences grouped by sample. Labels of feature models are those of the rows, so that tokens
+may have labels of their own; a sequence has the label of its first token.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sondar.probes import training
 from sondar.probes.models import MODELS, Model, Params
 from sondar.session import drawn
 
 MAX_ROWS = 100_000
+#: Most bytes of vectors that are collected to train on, or broadcast for a sweep.
+MAX_BYTES = 1_000_000_000
 
 
 class NotFittedError(RuntimeError):
@@ -30,14 +35,31 @@ def _bounded(df: DataFrame, id_col: str, max_rows: int) -> DataFrame:
     return drawn(df, id_col, max_rows)
 
 
+def _width(df: DataFrame) -> int:
+    row = df.select(F.size("vec").alias("d")).first()
+    return row.d if row else 1
+
+
+def _within_bytes(counts: DataFrame, most: int) -> DataFrame:
+    """(sample_id) of counts (sample_id, n), as many as together have at most `most` tokens, in hash order; one at least."""
+    held, total = [], 0
+    for row in counts.collect():  # as many rows as max_rows allows
+        if held and total + row.n > most:
+            break
+        held.append((row.sample_id,))
+        total += row.n
+    return F.broadcast(counts.sparkSession.createDataFrame(held, counts.select("sample_id").schema))
+
+
 def collected(df: DataFrame, model: Model, max_rows: int = MAX_ROWS):  # noqa: ANN201
     """(x, y, masks) of a training set: rows (sample_id, label, vec), or tokens (sample_id, pos, det, label, vec) for sequences."""
     if not model.sequence:
         rows = df.where("det") if "det" in df.columns else df
-        pdf = _bounded(rows.select("sample_id", "label", "vec"), "sample_id", max_rows).toPandas()
+        most = max(1, min(max_rows, MAX_BYTES // max(1, 8 * _width(rows))))
+        pdf = _bounded(rows.select("sample_id", "label", "vec"), "sample_id", most).toPandas()
         x = np.stack([np.asarray(v, float) for v in pdf.vec]) if len(pdf) else np.zeros((0, 1))
         return x, pdf.label.to_numpy(float), None
-    ids = _bounded(df.select("sample_id").distinct(), "sample_id", max_rows)
+    ids = _within_bytes(_bounded(df.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", max_rows), MAX_BYTES // max(1, 8 * _width(df)))
     pdf = df.join(ids, "sample_id", "left_semi").select("sample_id", "pos", "det", "label", "vec").toPandas().sort_values(["sample_id", "pos"])
     x, y, masks = [], [], []
     for _, g in pdf.groupby("sample_id", sort=True):

@@ -113,3 +113,57 @@ def test_token_scores_are_zero_where_undetected(spark):
     probe = NeuralProbe("MLP", {"hidden": 3, "n_epochs": 2}).fit(tokens)
     got = scattered(probe.transform(tokens), tokens).collect()
     assert len(got) == 24 and all((r.score == 0) == (r.pos == 1) for r in got)
+
+
+def _blobs(n=80, d=3, seed=1):
+    rng = np.random.default_rng(seed)
+    y = np.arange(n) % 2
+    return rng.normal(0, 1, (n, d)) + y[:, None] * 2.0, y.astype(float)
+
+
+@pytest.mark.parametrize("optimizer", [training.AdamW, training.Momentum, lambda rate, decay: training.AdamW(rate * 5, 0.0)])
+def test_optimizers(optimizer):
+    x, y = _blobs()
+    model = MODELS["MLP"](hidden=8, n_epochs=60, learning_rate=0.01)
+    params = training.train(model, x, y, optimizer=optimizer, schedule=training.cosine(60))
+    assert ((training.logits(model, params, x) > 0) == (y > 0)).mean() > 0.9
+
+
+def test_plateau_and_casts():
+    p = training.Plateau(0.5, patience=1)
+    for loss, want in ((1.0, 1.0), (1.1, 1.0), (1.2, 0.5), (0.9, 0.5), (0.95, 0.5), (0.95, 0.25)):
+        p.seen(loss)
+        assert p(0) == want
+    assert training.rounded([1.0009765625 + 2**-12], "float16")[0] == 1.0009765625 and training.rounded([1 + 2**-9], "bfloat16")[0] == 1.0
+    assert training.rounded([1 / 3], None)[0] == 1 / 3 and training.rounded([1 / 3], "float32")[0] == np.float32(1 / 3)
+    with pytest.raises(ValueError):
+        training.rounded([1.0], "int3")
+    x, y = _blobs()
+    seqs, masks = [np.stack([r, r]) for r in x], [np.ones(2, bool)] * len(x)
+    model = MODELS["SoftAttention"](hidden=4, n_heads=2, n_epochs=5)
+    training.train(model, seqs, y, masks, schedule=training.Plateau(), shuffle=False, sort_by_length=False, cast="bfloat16")
+
+
+def test_order_of_batches():
+    lengths = np.array([3, 9, 1, 5])
+    assert [b.tolist() for b in training.batches(lengths, 2, None, None)] == [[1, 3], [0, 2]]
+    assert [b.tolist() for b in training.batches(np.zeros(4, int), 2, None, None, lengths)] == [[0, 1], [2, 3]]
+
+
+def test_training_sets_are_bounded_by_bytes(spark, monkeypatch):
+    from sondar.probes import neural
+
+    data = [(i, p, True, i % 2, [float(i), float(p)]) for i in range(40) for p in range(5)]
+    df = spark.createDataFrame(data, "sample_id bigint, pos int, det boolean, label int, vec array<double>")
+    monkeypatch.setattr(neural, "MAX_BYTES", 2 * 8 * 5 * 7)
+    x, y, masks = neural.collected(df, MODELS["SoftAttention"]())
+    assert len(x) == 7 and all(len(s) == 5 for s in x)
+    x, y, _ = neural.collected(df, MODELS["MLP"]())
+    assert len(x) == 35
+
+
+def test_tokens_have_labels_of_their_own(spark):
+    data = [(i, p, p != 1, int(p == 2), [float(p == 2), 1.0]) for i in range(20) for p in range(3)]
+    df = spark.createDataFrame(data, "sample_id bigint, pos int, det boolean, label int, vec array<double>")
+    x, y, _ = __import__("sondar.probes.neural", fromlist=["x"]).collected(df, MODELS["MLP"]())
+    assert len(x) == 40 and sorted(set(zip(x[:, 0], y))) == [(0.0, 0.0), (1.0, 1.0)]

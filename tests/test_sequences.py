@@ -124,3 +124,43 @@ def test_padding_by_planned_batch_keeps_every_row(spark):
     lengths = s.selectExpr("sample_id", "sample_id AS n")
     p = {r.sample_id: (len(r.ids), sum(r.attention)) for r in T.padded(t, s, batches=batching.sequence_batches(lengths, 4)).collect()}
     assert p == {k: (60 - (60 - k) // 4 * 4, k) for k in range(61)}
+
+
+def test_dense_and_flat_layouts(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "sample_id bigint, vec array<double>")
+    assert A.from_tensor(v).lengths is not None and A.from_tensor(v).dims == "bh"
+    with pytest.raises(ValueError):
+        A.from_tensor(v, "bsh")
+    flat = spark.createDataFrame([(i, [float(i)], i != 2) for i in range(5)], "i bigint, vec array<double>, seen boolean")
+    offsets = spark.createDataFrame([(10, 0, 2), (11, 2, 2), (12, 2, 5)], "sample_id bigint, start bigint, stop bigint")
+    got = A.from_flat(flat, offsets, "seen")
+    assert sorted((r.sample_id, r.pos, r.det, r.vec[0]) for r in got.data.collect()) == [(10, 0, True, 0.0), (10, 1, True, 1.0), (12, 0, False, 2.0), (12, 1, True, 3.0), (12, 2, True, 4.0)]
+    assert {r.sample_id: r.vec[0] for r in got.mean("s").data.collect()} == {10: 0.5, 11: 0.0, 12: 3.5}
+    with pytest.raises(ValueError):
+        A.from_flat(flat, offsets, dims="bh")
+
+
+def test_cat_of_a_single_sample(spark):
+    v = spark.createDataFrame([(0, [1.0])], "sample_id bigint, vec array<double>")
+    a = A.from_tensor(v)
+    assert sorted(r.sample_id for r in A.cat([a, a, a]).data.collect()) == [0, 1, 2]
+    none = A.from_tensor(v.where("false"))
+    assert sorted(r.sample_id for r in A.cat([none, a, none, a]).spine.collect()) == [0, 1]
+
+
+def test_orders_of_batches(spark):
+    ids = spark.range(20).selectExpr("id AS sample_id")
+    plain = {r.sample_id: r.batch for r in batching.feature_batches(ids, 8).collect()}
+    assert plain == {i: i // 8 for i in range(20)}
+    shuffled = {r.sample_id: r.batch for r in batching.feature_batches(ids, 8, shuffle_seed=3).collect()}
+    assert shuffled != plain and sorted(shuffled.values()) == sorted(plain.values())
+    some = batching.feature_batches(ids, 3, indices=ids.where("sample_id % 2 = 0")).collect()
+    assert sorted((r.sample_id, r.batch) for r in some) == [(2 * i, i // 3) for i in range(10)]
+    lengths = spark.range(30).selectExpr("id AS sample_id", "(id * 7) % 11 + 1 AS n")
+    whole = {(r.sample_id, r.batch) for r in batching.sequence_batches(lengths, 4, 30, chunk=None).collect()}
+    assert whole == {(r.sample_id, r.batch) for r in batching.sequence_batches(lengths, 4, 30).collect()}
+    turned = batching.sequence_batches(lengths, 4, 30, shuffle_seed=1).collect()
+    turns = {r.batch: r.turn for r in turned}
+    assert len(turned) == 30 and sorted(turns.values()) == list(range(len(turns))) and [turns[b] for b in sorted(turns)] != sorted(turns.values())
+    chunks = lambda c: {(r.sample_id, r.batch) for r in batching.token_chunks(lengths, 25, c).collect()}
+    assert chunks(None) == chunks(4096)

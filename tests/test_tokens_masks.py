@@ -156,3 +156,13 @@ def test_text_masks_against_brute_force():
                 until is not None and i <= until,
             )
             assert tuple(bool(bits[k] >> j & 1) for j in range(4)) == want
+
+
+def test_tokenize_dataset_and_generation_prompt(spark):
+    d = spark.createDataFrame([(1, [("user", "hi there"), ("assistant", "yes")])], "sample_id bigint, messages array<struct<role:string,content:string>>")
+    text = lambda t, **k: T.rendered(d, T.TEMPLATES[t], **k).first().text
+    assert text("gemma", add_generation_prompt=True) == text("gemma") + "<start_of_turn>model\n"
+    assert text("llama", add_generation_prompt=True).endswith("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n")
+    assert T.rendered(d, add_generation_prompt=True).first().text == T.rendered(d).first().text
+    got = T.tokenize_dataset(d, M.assistant(include_padding=False) | M.contains("hi"), T.TEMPLATES["qwen"]).where("det")
+    assert [r.token for r in got.orderBy("pos").collect()] == ["hi", "yes"]
