@@ -7,7 +7,7 @@ the other record holds that piece whole, at most i words away from its place. Th
 gives its pieces, the held-out side every stretch of a piece's length; each pair within the
 tolerance meets, at any length. Pairs that meet are then held against their words exactly.
 
-    records -> words (native), written once -> one representative per wording and side
+    records -> words (Arrow, narrow), written once -> one representative per wording and side
             -> digests (Arrow, narrow) -> join on digest, with length and position
             -> overlap fraction -> word edit distance -> members of each wording
 
@@ -32,6 +32,7 @@ Defined results
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondar.functions.text import normalize_role, split_name, squeeze_words
+from sondar.functions.text import normalize_role, split_name
 from sondar.session import small, spread, written
 
 #: One word in this many may differ.
@@ -59,10 +60,44 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _B_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
 
-def dialogue_words(messages: Column) -> Column:
-    """Words of the user and assistant messages of a dialogue, in order, joined by blanks."""
+_ASCII_WORDS = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
+class _OnlyWords(dict):
+    """Translation of everything but letters, marks and digits to blanks; filled as characters turn up."""
+
+    def __missing__(self, code: int) -> int:
+        kind = unicodedata.category(chr(code))
+        out = self[code] = code if kind[0] in "LM" or kind == "Nd" else 32
+        return out
+
+
+_ONLY_WORDS = _OnlyWords()
+
+
+def words_of(text: str) -> str:
+    """The words of a text (runs of letters, marks and digits), with case aside, joined by blanks."""
+    if text.isascii():
+        return b" ".join(text.encode().lower().translate(_ASCII_WORDS).split()).decode()
+    return " ".join(text.upper().casefold().translate(_ONLY_WORDS).split())
+
+
+def with_words(texts: DataFrame) -> DataFrame:
+    """texts (id, held_out, text) with the words in place of the text. Narrow: no shuffle."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([None if t is None else words_of(t) for t in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], words], ["id", "held_out", "words"])
+
+    return texts.select("id", "held_out", "text").mapInArrow(run, f"id {id_type}, held_out boolean, words string")
+
+
+def dialogue_text(messages: Column) -> Column:
+    """The user and assistant messages of a dialogue, in order."""
     kept = F.filter(messages, lambda m: normalize_role(m["role"]).isin("user", "assistant"))
-    return squeeze_words(F.array_join(F.transform(kept, lambda m: m["content"]), " "))
+    return F.array_join(F.transform(kept, lambda m: m["content"]), " ")
 
 
 def pieces(n: np.ndarray, tolerance: int) -> np.ndarray:
@@ -361,9 +396,8 @@ def partners(records: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 def dialogue_records(dialogues: DataFrame) -> DataFrame:
     """(id, held_out, words) of dialogues (sample_id, split, messages)."""
     split = split_name(F.col("split"))
-    return spread(dialogues.select("sample_id", "split", "messages")).where(split.isNotNull()).select(
-        F.col("sample_id").alias("id"), (split != "train").alias("held_out"), dialogue_words(F.col("messages")).alias("words")
-    )
+    held = spread(dialogues.select("sample_id", "split", "messages")).where(split.isNotNull())
+    return with_words(held.select(F.col("sample_id").alias("id"), (split != "train").alias("held_out"), dialogue_text(F.col("messages")).alias("text")))
 
 
 def found(dialogues: DataFrame) -> DataFrame:
