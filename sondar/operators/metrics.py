@@ -2,7 +2,7 @@
 
 Scores (y, p) are first folded into a curve: one row per distinct score and slice, with
 its weight n and positive weight k, and the weight of positives and negatives below it.
-The running sums are distributed: leading digits of the score split the curve into
+The running sums are distributed: approximate quantiles of the scores split the curve into
 buckets, a small table of bucket totals gives each bucket's start, and only the window
 inside a bucket orders rows. Every metric is then an aggregate over that curve, so any
 number of metrics costs one shuffle of distinct scores, and slices (by) cost nothing more.
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Buckets of the running sums.
-BUCKETS = 4096
+BUCKETS = 256
 NAN = float("nan")
 
 
@@ -29,6 +29,22 @@ def probability(column: Column) -> Column:
     return F.get(column, F.lit(1))
 
 
+def _bucketed(df: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """df (p, ...) with (cuts), approximate quantiles of all scores, and (bucket), how many of them are not above p: buckets
+    as full as each other whatever the scores are, logits, probabilities or saturated ones. Found by halving."""
+    cuts = scores.where("p IS NOT NULL").agg(F.percentile_approx(F.col("p").cast("double"), [i / n for i in range(n)], 10 * n)).scalar()
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.col("p") >= F.get("cuts", middle)
+        go = at["lo"] < at["hi"]
+        return F.struct(F.when(go & below, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(go & ~below, middle).otherwise(at["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("cuts"), F.lit(0)).alias("hi"))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, halve, lambda at: at["lo"])
+    return df.withColumn("cuts", cuts).withColumn("bucket", place)
+
+
 def curve(scores: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by..., p, n, k, kb, mb, pos, neg): distinct scores with weights, positives and negatives below, and totals."""
     by = list(by)
@@ -41,8 +57,7 @@ def curve(scores: DataFrame, by: Sequence[str] = (), weight: str | None = None)
         .agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"))
         .where("n > 0")
     )
-    bucket = F.greatest(F.lit(-1), F.least(F.lit(BUCKETS), F.floor(F.col("p") * BUCKETS))).cast("int")
-    placed = folded.withColumn("bucket", bucket)
+    placed = _bucketed(folded, scores, BUCKETS).drop("cuts")
     sums = placed.groupBy(*by, "bucket").agg(F.sum("k").alias("bk"), F.sum("n").alias("bn"))
     slice_, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(
@@ -303,9 +318,12 @@ def optimal_threshold(scores: DataFrame, n_thresholds: int = 100, fnr_weight: fl
     return errors.agg(best.alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.error").alias("error"))
 
 
-def bootstrap(scores: DataFrame, metric: Column, n: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap(scores: DataFrame, metric: Column, n: int = 1000, confidence: float = 0.95, seed: int = 0, bins: int = 2_000) -> DataFrame:
     """(point, lower, upper, valid): the metric and its percentile interval over n resamples.
 
+    More than `bins` distinct scores are rounded down to that many quantiles for the resamples (not for the point), so that
+    these have at most 2 * bins * n rows, however many scores there are.
+
     Rows are first folded to distinct (p, y); the copies of a row in a resample are drawn
     from the Poisson distribution of its count, by hash of row, resample and seed, so that
     resamples need no row numbers and no shuffle beyond that of their curves. Resamples of
@@ -314,7 +332,11 @@ def bootstrap(scores: DataFrame, metric: Column, n: int = 1000, confidence: floa
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be in (0, 1)")
-    folded = scores.where("y IS NOT NULL AND p IS NOT NULL").groupBy("p", "y").agg(F.count("*").alias("c"))
+    held = scores.where("y IS NOT NULL AND p IS NOT NULL").select(F.col("p").cast("double").alias("p"), "y")
+    if held.select("p").distinct().limit(bins + 1).count() > bins:
+        rounded = F.get("cuts", F.greatest(F.col("bucket") - 1, F.lit(0)))
+        held = _bucketed(held, held, bins).select(rounded.alias("p"), "y")
+    folded = held.groupBy("p", "y").agg(F.count("*").alias("c"))
     each = folded.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
     unit = lambda tag: (F.pmod(F.xxhash64("p", "y", "rep", F.lit(seed), F.lit(tag)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     # Counts up to 30 by inversion of the distribution function, larger ones by its normal limit.

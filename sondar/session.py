@@ -81,6 +81,32 @@ def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes of a shuffle for each partition that it starts with; AQE joins partitions up to its advisory size.
+PARTITION_BYTES = 16_000_000
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+
+
+@contextlib.contextmanager
+def shuffling(spark: SparkSession, size: int):  # noqa: ANN201
+    """While actions run here, shuffles start with partitions enough for `size` bytes, so that a task's share doesn't grow
+    with the data; never with fewer than the session asks for."""
+    held = spark.conf.get(_INITIAL, None)
+    least = int(held or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_INITIAL, str(max(least, -(-size // PARTITION_BYTES))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_INITIAL, held) if held else spark.conf.unset(_INITIAL)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -79,3 +79,21 @@ def test_bootstrap_is_reproducible_and_brackets_the_point(spark):
 def test_empty_and_null_scores(spark):
     df = spark.createDataFrame([(1, None), (None, 0.5)], "y int, p double")
     assert M.evaluate(df, a=M.accuracy()).first().a is None
+
+
+def test_logits_and_saturated_scores_fill_all_buckets(spark):
+    data = [(i % 2, (i - 500) / 7.0) for i in range(1000)] + [(1, 1 - 1e-12 * i) for i in range(1000)]
+    s = spark.createDataFrame(data, "y int, p double")
+    sizes = [r["count"] for r in M._bucketed(s, s, 16).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 200
+    pos, neg = [p for y, p in data if y], [p for y, p in data if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert abs(M.evaluate(s, a=M.auroc()).first().a - want) < 1e-9
+
+
+def test_bootstrap_of_many_scores_rounds_them(spark):
+    s = spark.createDataFrame([(int(i % 100 < 40 + i // 50), i / 1000) for i in range(1000)], "y int, p double")
+    fine, rough = (M.bootstrap(s, M.auroc(strict=False), n=60, seed=1, bins=b).first() for b in (2000, 50))
+    assert fine.point == rough.point and abs(fine.lower - rough.lower) < 0.02 and abs(fine.upper - rough.upper) < 0.02
+    a = M.bootstrap(s, M.accuracy(0.5), n=40, seed=1, bins=50).first()
+    assert a.lower - 0.02 <= a.point <= a.upper + 0.02
