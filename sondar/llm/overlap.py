@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, split_name
-from sondar.session import small, spread, written
+from sondar.session import shuffling, small, spread, table_bytes, written
 
 #: One word in this many may differ.
 TOLERANCE = 10
@@ -52,6 +52,8 @@ CLASS_RATIO = 1.5
 #: Pairs that a digest may form before it is split, estimated on one record in SAMPLE of either side.
 MANY_PAIRS = 4_000_000
 SAMPLE = 32
+#: Bytes of digests in the shuffle for each byte of the written words, about.
+DIGEST_GROWTH = 8
 #: Most segments of 64 parities; longer records, with more edits, are not split.
 MOST_SEGMENTS = 16
 
@@ -336,7 +338,8 @@ def _close(records: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
     pairs = left.join(right, "key").where(near)
     pairs = pairs.withColumns({"n": n, "xl": F.col("e_low").bitwiseXOR(F.col("t_low")), "xh": F.col("e_high").bitwiseXOR(F.col("t_high"))})
     pairs = pairs.select("e", "t", shared.alias("len"), F.greatest(e_n, t_n).alias("size")).groupBy("e", "t").agg((F.sum("len") / F.max("size")).alias("overlap"))
-    pairs = written(pairs, "pairs")
+    with shuffling(records.sparkSession, DIGEST_GROWTH * table_bytes(records)):
+        pairs = written(pairs, "pairs")
 
     def words_of(side: str, condition: str) -> DataFrame:
         """Words of the representatives in some pair."""
