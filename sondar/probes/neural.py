@@ -56,13 +56,19 @@ def collected(df: DataFrame, model: Model, max_rows: int = MAX_ROWS):  # noqa: A
     if not model.sequence:
         rows = df.where("det") if "det" in df.columns else df
         most = max(1, min(max_rows, MAX_BYTES // max(1, 8 * _width(rows))))
-        pdf = _bounded(rows.select("sample_id", "label", "vec"), "sample_id", most).toPandas()
+        return _arrays(_bounded(rows.select("sample_id", "label", "vec"), "sample_id", most).toPandas(), model)
+    ids = _within_bytes(_bounded(df.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", max_rows), MAX_BYTES // max(1, 8 * _width(df)))
+    return _arrays(df.join(ids, "sample_id", "left_semi").select("sample_id", "pos", "det", "label", "vec").toPandas(), model)
+
+
+def _arrays(pdf: pd.DataFrame, model: Model):  # noqa: ANN202
+    """(x, y, masks) of collected rows, in order of their ids."""
+    if not model.sequence:
+        pdf = pdf[pdf.det] if "det" in pdf else pdf
         x = np.stack([np.asarray(v, float) for v in pdf.vec]) if len(pdf) else np.zeros((0, 1))
         return x, pdf.label.to_numpy(float), None
-    ids = _within_bytes(_bounded(df.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", max_rows), MAX_BYTES // max(1, 8 * _width(df)))
-    pdf = df.join(ids, "sample_id", "left_semi").select("sample_id", "pos", "det", "label", "vec").toPandas().sort_values(["sample_id", "pos"])
     x, y, masks = [], [], []
-    for _, g in pdf.groupby("sample_id", sort=True):
+    for _, g in pdf.sort_values(["sample_id", "pos"]).groupby("sample_id", sort=True):
         x.append(np.stack([np.asarray(v, float) for v in g.vec]))
         masks.append(g.det.to_numpy(bool))
         y.append(float(g.label.iloc[0]))
@@ -166,5 +172,28 @@ def sweep(df: DataFrame, name: str, configs: Sequence[dict], max_rows: int = MAX
     return probes
 
 
+def sweep_layers(df: DataFrame, name: str, configs: Sequence[dict], max_rows: int = MAX_ROWS, seed: int = 0) -> dict[tuple[int, int], NeuralProbe]:
+    """One fitted probe for each layer and set of options of rows (layer, sample_id, label, vec, [pos, det]), each trained in a
+    task of its own. All layers train on the same samples, bounded as in collected() by the share of one layer."""
+    model = MODELS[name]()
+    counts = df.where(F.col("layer") == df.agg(F.min("layer")).scalar()).groupBy("sample_id").agg(F.count("*").alias("n"))
+    ids = _within_bytes(_bounded(counts, "sample_id", max_rows), MAX_BYTES // max(1, 8 * _width(df)))
+    columns = ["sample_id", *[c for c in ("pos", "det") if c in df.columns], "label", "vec"]
+    each = df.join(ids, "sample_id", "left_semi").select("layer", *columns, F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1))).alias("i"))
+    options = [json.dumps(c) for c in configs]
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x, y, masks = _arrays(f.sort_values([c for c in ("sample_id", "pos") if c in f]), model)
+        out = io.BytesIO()
+        np.savez(out, **training.train(MODELS[name](**json.loads(options[key[1]])), x, y, masks, seed=seed))
+        return pd.DataFrame({"layer": [key[0]], "i": [key[1]], "params": [out.getvalue()]})
+
+    probes = {}
+    for row in each.groupBy("layer", "i").applyInPandas(run, "layer int, i int, params binary").collect():  # one row a probe
+        held = np.load(io.BytesIO(bytes(row.params)))
+        probes[row.layer, row.i] = NeuralProbe(name, dict(configs[row.i]), seed, {k: held[k] for k in held.files})
+    return probes
+
+
 def described(probe: NeuralProbe) -> dict:
     return asdict(probe.model)

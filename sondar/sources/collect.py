@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sondar.operators import batching, pool
 from sondar.operators.activations import Activations
+from sondar.sources import storage
 
 Model = Callable[[list[list[int]]], list[np.ndarray]]
 
@@ -44,6 +45,16 @@ def collect(tokens: DataFrame, samples: DataFrame, model: Model, layers: Sequenc
     return Activations(pooled, "blh", acts.spine, acts.layers, metadata)
 
 
+def collect_to(path: str, tokens: DataFrame, samples: DataFrame, model: Model, layers: Sequence[int], *, dtype: str = "float32", resume: bool = True, **options) -> Activations:  # noqa: ANN003
+    """collect() into a store. With resume the samples a store there holds already are left as they are, and only the others
+    run through the model."""
+    done = storage.load(tokens.sparkSession, path).spine if resume and storage.has_store(path) else None
+    if done is not None:
+        tokens, samples = (df.join(done.select("sample_id").distinct(), "sample_id", "left_anti") for df in (tokens, samples))
+    storage.save(collect(tokens, samples, model, layers, **options), path, dtype=dtype, append=done is not None)
+    return storage.load(tokens.sparkSession, path)
+
+
 def stream(acts: Activations, chunk_tokens: int = 500_000) -> Iterator[tuple[Activations, DataFrame]]:
     """Chunks of whole samples of a table that is already collected."""
     plan = batching.token_chunks(acts.lengths().where("n > 0"), chunk_tokens).persist()

@@ -1,13 +1,16 @@
 """Storage of activation tables: Parquet, split by layer, with a manifest.
 
-Writing is atomic through the commit protocol: the manifest is written last, and a folder
-without one (or with another format's) is no store. Loading layers reads their folders only.
+Writing is atomic: rows go to a part of their own and the manifest, which lists the parts, is
+written last. A folder without one (or with another format's) is no store, and a part that no
+manifest lists, of a job that ended early, is never read. Loading layers reads their folders only.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +22,34 @@ FORMAT = "sondar-activations"
 _TYPES = {"float32": "float", "bfloat16": "float", "float64": "double"}
 
 
-def save(acts: Activations, path: str, *, dtype: str = "float32", compression: str = "zstd", format: str = "auto") -> None:  # noqa: A002
-    """Writes a store; metadata must be JSON. bfloat16 keeps the upper 16 bits of each float, rounded to even."""
+def save(acts: Activations, path: str, *, dtype: str = "float32", compression: str = "zstd", format: str = "auto", append: bool = False) -> None:  # noqa: A002
+    """Writes a store, or with append adds samples to one of the same layout; metadata must be JSON. bfloat16 keeps the upper
+    16 bits of each float, rounded to even."""
     if format not in ("auto", "parquet"):
         raise ValueError(f"unknown format {format!r}")
     if dtype not in _TYPES:
         raise ValueError(f"dtype must be one of {sorted(_TYPES)}")
+    layout = {"format": FORMAT, "dims": acts.dims, "layers": list(acts.layers) if acts.layers else None, "dtype": dtype}
     try:
-        manifest = json.dumps({"format": FORMAT, "dims": acts.dims, "layers": list(acts.layers) if acts.layers else None, "dtype": dtype, "metadata": acts.metadata})
+        metadata = json.loads(json.dumps(acts.metadata))
     except TypeError as e:
         raise TypeError("metadata must be JSON") from e
+    old = manifest(path) if append and has_store(path) else None
+    if old and any(old[k] != v for k, v in layout.items()):
+        raise ValueError(f"{path} holds another layout: {old}")
     data = acts.cast(_TYPES[dtype]).data
     if dtype == "bfloat16":
         data = data.withColumn("vec", rounded_bfloat16(F.col("vec")))
-    spark = data.sparkSession
-    files.remove(spark, f"{path}/manifest.json")
-    writer = data.write.mode("overwrite").option("compression", compression)
-    (writer.partitionBy("layer") if acts.layers else writer).parquet(f"{path}/data")
-    acts.spine.select("sample_id").write.mode("overwrite").parquet(f"{path}/spine")
-    files.write_text(spark, f"{path}/manifest.json", manifest)
+    spark, part = data.sparkSession, uuid.uuid4().hex
+    writer = data.write.option("compression", compression)
+    (writer.partitionBy("layer") if acts.layers else writer).parquet(f"{path}/data/{part}")
+    acts.spine.select("sample_id").write.parquet(f"{path}/spine/{part}")
+    parts = [*(old["parts"] if old else []), part]
+    files.write_text(spark, f"{path}/manifest.json", json.dumps({**layout, "metadata": old["metadata"] if old else metadata, "parts": parts}))
+    for name in ("data", "spine"):  # parts that were replaced, or left by a job that ended early
+        for held in files.matches(spark, f"{path}/{name}/*"):
+            if held.rsplit("/", 1)[1] not in parts:
+                files.remove(spark, held)
 
 
 def rounded_bfloat16(vec):  # noqa: ANN001, ANN201
@@ -79,7 +91,8 @@ def has_store(path: str) -> bool:
 def load(spark: SparkSession, path: str, *, layers: int | Sequence[int] | None = None, cast: str | None = None) -> Activations:
     """A store; an integer layer drops the axis, a list keeps it in its order, unknown layers raise."""
     held = manifest(path)
-    data, spine = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/spine")
+    data = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/data/{p}") for p in held["parts"]])
+    spine = spark.read.parquet(*[f"{path}/spine/{p}" for p in held["parts"]])
     acts = Activations(data, held["dims"], spine, tuple(held["layers"]) if held["layers"] else None, held["metadata"])
     if layers is not None:
         acts = acts.select_layer(layers)

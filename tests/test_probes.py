@@ -167,3 +167,16 @@ def test_tokens_have_labels_of_their_own(spark):
     df = spark.createDataFrame(data, "sample_id bigint, pos int, det boolean, label int, vec array<double>")
     x, y, _ = __import__("sondar.probes.neural", fromlist=["x"]).collected(df, MODELS["MLP"]())
     assert len(x) == 40 and sorted(set(zip(x[:, 0], y))) == [(0.0, 0.0), (1.0, 1.0)]
+
+
+def test_sweep_over_layers(spark):
+    from sondar.probes import sweep_layers
+
+    df, x, y = frame(spark)
+    from pyspark.sql import functions as F
+
+    layered = df.select("*", F.explode(F.array(F.lit(3), F.lit(7))).alias("layer")).withColumn("vec", F.transform("vec", lambda v: v * F.when(F.col("layer") == 3, 1.0).otherwise(0.0)))
+    probes = sweep_layers(layered, "MLP", [{"hidden": 4, "n_epochs": 60, "learning_rate": 0.05}, {"hidden": 6, "n_epochs": 2}])
+    assert sorted(probes) == [(3, 0), (3, 1), (7, 0), (7, 1)] and probes[7, 1].params["w1"].shape == (5, 6)
+    right = lambda p, a: ((p.logits(a) > 0) == (y > 0)).mean()
+    assert right(probes[3, 0], x) > 0.8 and probes[7, 0].logits(x * 0).std() < 1e-9

@@ -69,3 +69,27 @@ def test_collect(spark):
 
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 100
+
+
+def test_collect_to_a_store_goes_on_where_it_ended(spark, tmp_path):
+    from sondar.sources import storage
+
+    rows = [(s, p, 10 * s + p, p > 0) for s in (1, 2, 3) for p in range(s + 1)]
+    tokens = spark.createDataFrame(rows, "sample_id bigint, pos int, token_id bigint, det boolean")
+    samples = spark.createDataFrame([(1,), (2,), (3,)], "sample_id bigint")
+    path, first = str(tmp_path / "acts"), lambda df: df.where("sample_id < 3")
+    collect.collect_to(path, first(tokens), first(samples), model, (5, 6))
+
+    def refuses(batch):
+        assert all(t >= 30 for ids in batch for t in ids), "a sample ran twice"
+        return model(batch)
+
+    both = collect.collect_to(path, tokens, samples, refuses, (5, 6))
+    whole = collect.collect(tokens, samples, model, (5, 6))
+    key = lambda a: sorted((r.sample_id, r.pos, r.layer, r.vec[0]) for r in a.data.collect())
+    assert key(both) == key(whole) and sorted(r.sample_id for r in both.spine.collect()) == [1, 2, 3]
+    assert len(storage.manifest(path)["parts"]) == 2
+    with pytest.raises(ValueError):
+        storage.save(whole.select_layer(5), path, append=True)
+    again = collect.collect_to(path, tokens, samples, model, (5, 6), resume=False)
+    assert key(again) == key(whole) and len(storage.manifest(path)["parts"]) == 1
