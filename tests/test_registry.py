@@ -16,7 +16,7 @@ def load(spark, name, tmp_path, **options):
 
 
 def test_topics_and_options(spark, tmp_path):
-    assert len(registry.list_datasets("sparse_probing")) == 113 and set(registry.list_topics()) == set(registry.TOPICS)
+    assert len(registry.probing_sources()) == 113 and set(registry.probing_sources()) <= set(registry.list_datasets("sparse_probing")) and set(registry.list_topics()) == set(registry.TOPICS)
     assert registry.info("frozen_protocol_v1").topic == "ood" and "glue" in registry.list_categories()
     assert registry.probing_sources("code") == ["sparse_probing_158_code_C", "sparse_probing_159_code_Python", "sparse_probing_160_code_HTML"]
     with pytest.raises(ValueError, match="unknown variant"):
