@@ -189,6 +189,29 @@ class Cutter:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+#: Parities of classes of words that a pair is held against before its words are fetched.
+SKETCH_BITS = 512
+
+
+def sketches_of(records: DataFrame) -> DataFrame:
+    """(rep, sketch) of records (rep, words): the parities of SKETCH_BITS classes of words, as integers of 64 bits. Narrow."""
+    id_type = records.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        for batch in batches:
+            words = [t.split(" ") for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            h = cutter.hashes([w for ws in words for w in ws])
+            place = np.repeat(np.arange(len(sizes)), sizes) * SKETCH_BITS + (h >> np.uint64(12)).astype(np.int64) % SKETCH_BITS
+            odd = (np.bincount(place, minlength=len(sizes) * SKETCH_BITS) & 1).astype(np.uint8)
+            lanes = np.packbits(odd).view(np.int64)
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(lanes))], ["rep", "sketch"])
+
+    return records.select("rep", "words").mapInArrow(run, f"rep {id_type}, sketch array<bigint>")
+
+
 #: Bits of a position or a length in words, of a stretch's length with the mark of a split digest, and of a class of length.
 _BITS, _LEN_BITS, _CLASS_BITS = 28, 8, 6
 _SPLIT = 1 << (_LEN_BITS - 1)
@@ -314,7 +337,7 @@ def _close(records: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
     """(e, t, overlap) of the representatives of held-out and train wordings within the tolerance, and the members
     (held_out, rep, id) of wordings with copies."""
     records = records.where("held_out IS NOT NULL AND words <> '' AND id IS NOT NULL")
-    records = written(records.select("id", "held_out", "words", F.md5("words").alias("mark")), "records")
+    records = written(records.select("id", "held_out", "words", F.unhex(F.md5("words")).alias("mark")), "records")
     reps, members = _representatives(records)
     # Records of a pair are about as long as each other. With the class of length in the digest, one that very
     # many records share falls apart by length, and pairs of too different lengths are hardly formed.
@@ -337,16 +360,24 @@ def _close(records: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
     shared = _length(F.col("e_place")) / F.when(F.col("e_place").bitwiseAND(F.lit(_SPLIT)) > 0, meetings).otherwise(1)
     pairs = left.join(right, "key").where(near)
     pairs = pairs.withColumns({"n": n, "xl": F.col("e_low").bitwiseXOR(F.col("t_low")), "xh": F.col("e_high").bitwiseXOR(F.col("t_high"))})
-    pairs = pairs.select("e", "t", shared.alias("len"), F.greatest(e_n, t_n).alias("size")).groupBy("e", "t").agg((F.sum("len") / F.max("size")).alias("overlap"))
+    pairs = pairs.select("e", "t", shared.alias("len"), F.greatest(e_n, t_n).alias("size"), (2 * most - F.abs(e_n - t_n)).alias("turns"))
+    pairs = pairs.groupBy("e", "t").agg((F.sum("len") / F.max("size")).alias("overlap"), F.max("turns").alias("turns"))
     with shuffling(records.sparkSession, DIGEST_GROWTH * table_bytes(records)):
         pairs = written(pairs, "pairs")
 
-    def words_of(side: str, condition: str) -> DataFrame:
-        """Words of the representatives in some pair."""
-        texts = reps.where(condition).select(F.col("rep").alias(side), F.col("words").alias(f"{side}_words"))
-        return texts.join(small(pairs.select(side).distinct()), side, "left_semi")
-
-    compared = pairs.join(words_of("t", "NOT held_out"), "t").join(words_of("e", "held_out"), "e")
+    def side_of(found: DataFrame, side: str) -> DataFrame:
+        """The representatives of one side in some pair."""
+        own = reps.where("held_out" if side == "e" else "NOT held_out").withColumnRenamed("rep", side)
+        return own.join(small(found.select(side).distinct()), side, "left_semi").withColumnRenamed(side, "rep")
+
+    # Many more parities first, then the words themselves of what is left.
+    for side in ("t", "e"):
+        pairs = pairs.join(sketches_of(side_of(pairs, side)).select(F.col("rep").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
+    differ = F.aggregate(F.zip_with("e_sketch", "t_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    pairs = written(pairs.where(differ <= F.col("turns")).select("e", "t", "overlap"), "near")
+    compared = pairs
+    for side in ("t", "e"):
+        compared = compared.join(side_of(pairs, side).select(F.col("rep").alias(side), F.col("words").alias(f"{side}_words")), side)
 
     @F.pandas_udf("boolean")
     def same(a, b):  # noqa: ANN001, ANN202
