@@ -86,12 +86,6 @@ def _cat_vectors(spark, sf):  # noqa: ANN001, ANN202
     return _dims(A.cat([one, pooled, pooled]).data)
 
 
-def _padded(spark, sf):  # noqa: ANN001, ANN202
-    ids = spine(spark, sf).where("sample_id < 20")
-    p = layered(spark, sf).select_layer(10).padded(ids)
-    return p.select("sample_id", F.size("vecs").alias("length"), F.size(F.filter("mask", lambda m: m)).alias("detected"))
-
-
 def _padded_batches(spark, sf):  # noqa: ANN001, ANN202
     p = layered(spark, sf).select_layer(10).padded(batches=batching.sequence_batches(_lengths(spark, sf), 32))
     return p.select("sample_id", F.size("vecs").alias("length"), F.size(F.filter("mask", lambda m: m)).alias("detected"))
@@ -140,7 +134,6 @@ QUERIES = {
     "activations_detected_counts": _detected,
     "activations_cat": _cat,
     "activations_cat_vectors": _cat_vectors,
-    "activations_padded_batch": _padded,
     "activations_padded_batches": _padded_batches,
     "activations_finite_check": _finite,
     "batching_sequences": _batches,
@@ -202,8 +195,6 @@ SELECT sample_id, CAST(2 * i + dim AS INT) AS dim, round(layer * v, 9) AS x FROM
     "activations_cat_vectors": TOKENS
     + f""", p AS (SELECT sample_id, dim, coalesce(avg(x * 10) FILTER (WHERE det), 0.0::DOUBLE) AS x FROM e GROUP BY ALL), m AS (SELECT max(sample_id) + 1 AS n FROM p)
 SELECT 0 AS sample_id, dim, round(avg(x), 9) AS x FROM p GROUP BY dim UNION ALL SELECT sample_id + 1, dim, round(x, 9) FROM p UNION ALL SELECT sample_id + 1 + n, dim, round(x, 9) FROM p, m""",
-    "activations_padded_batch": TOKENS
-    + """SELECT sample_id, (SELECT max(pos) + 1 FROM t WHERE sample_id < 20) AS length, count(*) FILTER (WHERE det) AS detected FROM t WHERE sample_id < 20 GROUP BY sample_id""",
     "activations_padded_batches": TOKENS
     + """, c AS (SELECT sample_id, count(*) AS n, count(*) FILTER (WHERE det) AS detected FROM t GROUP BY sample_id),
 b AS (SELECT *, (row_number() OVER (ORDER BY n DESC, sample_id) - 1) // 32 AS batch FROM c) SELECT sample_id, max(n) OVER (PARTITION BY batch) AS length, detected FROM b""",

@@ -75,12 +75,6 @@ def _gather(spark, sf):  # noqa: ANN001, ANN202
     return T.gather(T.tokenize(s), s, [3, 0, -1, 3]).groupBy("idx", "sample_id").agg(F.count("*").alias("n"))
 
 
-def _pad_batch(spark, sf):  # noqa: ANN001, ANN202
-    s = prompts(spark, sf).where("sample_id <= 50")
-    p = T.padded(T.tokenize(s), s)
-    return p.select("sample_id", F.size("ids").alias("length"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).alias("real"))
-
-
 def _pad_batches(spark, sf):  # noqa: ANN001, ANN202
     s = prompts(spark, sf)
     t = T.tokenize(s)
@@ -146,7 +140,6 @@ QUERIES = {
     "tokens_truncate_left": _truncate("left"),
     "tokens_truncate_right": _truncate("right"),
     "tokens_gather": _gather,
-    "tokens_pad_batch": _pad_batch,
     "tokens_pad_batches": _pad_batches,
     "tokens_char_to_token": _range_join,
     **{name: _mask(source, build) for name, (source, build, _) in {**MASKS, **TEXT_MASKS}.items()},
@@ -253,8 +246,6 @@ ORACLES = {
     "tokens_gather": _PROMPTS
     + """, o AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS p, count(*) OVER () AS n FROM x), w(idx, i) AS (VALUES (0, 3), (1, 0), (2, -1), (3, 3)),
 q AS (SELECT CAST(idx AS BIGINT) AS idx, sample_id FROM w JOIN o ON p = CASE WHEN i < 0 THEN n + i ELSE i END) SELECT idx, sample_id, count(*) AS n FROM q JOIN t USING (sample_id) GROUP BY ALL""",
-    "tokens_pad_batch": _PROMPTS
-    + ", c AS (SELECT x.sample_id, count(t.pos) AS real FROM x LEFT JOIN t USING (sample_id) WHERE x.sample_id <= 50 GROUP BY 1) SELECT sample_id, max(real) OVER () AS length, real FROM c",
     "tokens_pad_batches": _PROMPTS
     + """, c AS (SELECT x.sample_id, count(t.pos) AS real FROM x LEFT JOIN t USING (sample_id) GROUP BY 1),
 b AS (SELECT *, (row_number() OVER (ORDER BY real DESC, sample_id) - 1) // 32 AS batch FROM c) SELECT sample_id, max(real) OVER (PARTITION BY batch) AS length, real FROM b""",
