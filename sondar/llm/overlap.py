@@ -159,7 +159,7 @@ class Cutter:
     def digests(self, texts: list[str], cut: bool) -> tuple[np.ndarray, ...]:
         """(record, digest, position, length of the stretch, words of the record, low, high): the pieces of each record
         if `cut`, else every stretch that can equal a piece of a partner. The digest takes in the length and the class of the
-        held-out record's length, which is also in its lowest bits.
+        held-out record's length, which is also in bits of its own; the lowest bits are zeros, which a shuffle compresses.
         low and high are the parities of how many words of the record fall into each of 128 classes of words."""
         words = [t.split(" ") for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -181,7 +181,7 @@ class Cutter:
                 digest = (sums[begin + length] - sums[begin]) * unpowers[at]
                 digest = (digest ^ (digest >> np.uint64(29))) * _A + (length | of << 16).astype(np.uint64)
                 digest = (digest ^ (digest >> np.uint64(32))) * _B
-                digest = digest >> np.uint64(_CLASS_BITS) << np.uint64(_CLASS_BITS) | of.astype(np.uint64)
+                digest = digest >> np.uint64(_CLASS_AT + _CLASS_BITS) << np.uint64(_CLASS_AT + _CLASS_BITS) | of.astype(np.uint64) << np.uint64(_CLASS_AT)
                 out.append((r, digest.view(np.int64), at, length, sizes[r], low[r], high[r]))
         if not out:
             empty = np.zeros(0, np.int64)
@@ -213,7 +213,7 @@ def sketches_of(records: DataFrame) -> DataFrame:
 
 
 #: Bits of a position or a length in words, of a stretch's length with the mark of a split digest, and of a class of length.
-_BITS, _LEN_BITS, _CLASS_BITS = 28, 8, 6
+_BITS, _LEN_BITS, _CLASS_BITS, _CLASS_AT = 28, 8, 6, 16
 _SPLIT = 1 << (_LEN_BITS - 1)
 
 
@@ -271,7 +271,7 @@ def _common(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _split(digests: DataFrame, common: DataFrame, tolerance: int) -> DataFrame:
     """digests with a key in place of the digest: the digest itself, or for common ones one for each segment of the parities."""
-    n = _segments_of(F.col("digest").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)), tolerance)
+    n = _segments_of(F.shiftright("digest", _CLASS_AT).bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)), tolerance)
     marked = digests.join(common, "digest", "left").withColumn("n", F.when(F.col("many"), n).otherwise(0))
     keys = F.expr(f"if(n > 0, transform(sequence(0, 2 * n - 1), j -> xxhash64(digest, j, {_SEGMENT.format('low', 'high')})), array(digest))")
     place = F.when(F.col("n") > 0, F.col("place").bitwiseOR(F.lit(_SPLIT))).otherwise(F.col("place"))
