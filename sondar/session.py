@@ -82,7 +82,7 @@ def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
 
 
 #: Bytes of a shuffle for each partition that it starts with; AQE joins partitions up to its advisory size.
-PARTITION_BYTES = 16_000_000
+PARTITION_BYTES = 24_000_000
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
