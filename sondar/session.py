@@ -50,12 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a compressed table in the shared folder and read again: cuts lineage,
-    survives lost executors, and lets every reader prune its columns. Removed at exit."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df written as a compressed table in the shared folder, in folders of the columns `by`, and read again: cuts lineage,
+    survives lost executors, and lets every reader prune its columns and folders. Removed at exit."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/sondar-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     cleared(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

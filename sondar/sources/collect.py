@@ -57,10 +57,4 @@ def collect_to(path: str, tokens: DataFrame, samples: DataFrame, model: Model, l
 
 def stream(acts: Activations, chunk_tokens: int = 500_000) -> Iterator[tuple[Activations, DataFrame]]:
     """Chunks of whole samples of a table that is already collected."""
-    plan = batching.token_chunks(acts.lengths().where("n > 0"), chunk_tokens).persist()
-    try:
-        for row in plan.select("chunk", "batch").distinct().orderBy("chunk", "batch").toLocalIterator():
-            ids = plan.where((F.col("chunk") == row.chunk) & (F.col("batch") == row.batch)).select("sample_id")
-            yield Activations(acts.data.join(ids, "sample_id", "left_semi"), acts.dims, ids, acts.layers, acts.metadata), ids
-    finally:
-        plan.unpersist()
+    return storage.chunks(acts, chunk_tokens)

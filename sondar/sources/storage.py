@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondar.operators.activations import Activations
+from sondar.session import written
 from sondar.sources import files
 
 FORMAT = "sondar-activations"
@@ -101,20 +102,25 @@ def load(spark: SparkSession, path: str, *, layers: int | Sequence[int] | None =
 
 def stream(spark: SparkSession, path: str, *, layers: int | Sequence[int] | None = None, chunk_tokens: int = 500_000) -> Iterator[tuple[Activations, DataFrame]]:
     """(activations, ids) of whole samples, at most chunk_tokens together but at least one sample; samples without tokens
-    come in none. Only one chunk is read at a time."""
+    come in none."""
     acts = load(spark, path, layers=layers)
     if "s" not in acts.dims:
         raise ValueError("only stores with a sequence axis can be streamed")
+    yield from chunks(acts, chunk_tokens)
+
+
+def chunks(acts: Activations, chunk_tokens: int) -> Iterator[tuple[Activations, DataFrame]]:
+    """(activations, ids) of whole samples in chunks of tokens. The rows are written once to the shared folder by chunk, so
+    that a chunk reads its own files only."""
     from sondar.operators.batching import token_chunks
 
-    planned = token_chunks(acts.lengths().where("n > 0"), chunk_tokens).persist()
-    try:
-        for row in planned.select("chunk", "batch").distinct().orderBy("chunk", "batch").toLocalIterator():
-            ids = planned.where((F.col("chunk") == row.chunk) & (F.col("batch") == row.batch)).select("sample_id")
-            part = acts.data.join(ids, "sample_id", "left_semi")
-            yield Activations(part, acts.dims, ids, acts.layers, acts.metadata), ids
-    finally:
-        planned.unpersist()
+    keys = ("chunk", "batch")
+    plan = written(token_chunks(acts.lengths().where("n > 0"), chunk_tokens).select("sample_id", *keys), "chunks")
+    rows = written(acts.data.join(plan, "sample_id"), "chunked", keys)
+    for row in plan.select(*keys).distinct().orderBy(*keys).toLocalIterator():
+        here = (F.col("chunk") == row.chunk) & (F.col("batch") == row.batch)
+        ids = plan.where(here).select("sample_id")
+        yield Activations(rows.where(here).drop(*keys), acts.dims, ids, acts.layers, acts.metadata), ids
 
 
 def remove(path: str) -> None:
