@@ -128,12 +128,14 @@ def update(snapshot: DataFrame, old: State | None = None, path: str | None = Non
     """The state after a snapshot (source_table, record_id, source, language, domain, text; came, the time it came, if known)."""
     path = path or bpe.vocabulary_path()
     mark = tokenizer_hash(path)
+    seen_before = old is not None  # else no content has a count yet
     old = old or empty(snapshot.sparkSession)
     came = F.col("came") if "came" in snapshot.columns else F.lit(None).cast("timestamp")
     new = snapshot.where("record_id IS NOT NULL").withColumn("content", _hash(F.col("text")))
     known = old.counts.where(F.col("tokenizer") == mark).select("content", "tokens")
     bare = written(_once(new.select(*_COLUMNS, came.alias("came"))), "bare")
-    unseen = _without_count(new.select("content", "text"), bare.select("content").distinct(), known)
+    texts = new.select("content", "text")
+    unseen = _without_count(texts, bare.select("content").distinct(), known) if seen_before else texts
     fresh = written(counted(unseen, path).groupBy("content").agg(F.max("tokens").alias("tokens")), "fresh")
     counts = old.counts.unionByName(fresh.select("content", F.lit(mark).alias("tokenizer"), "tokens"))
     records = bare.join(known.unionByName(fresh), "content").select(*_COLUMNS, "tokens")
