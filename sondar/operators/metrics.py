@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of the running sums.
 BUCKETS = 256
+#: Column of scores whose buckets are known already.
+_KNOWN = "_bucket"
 NAN = float("nan")
 
 
@@ -50,14 +52,15 @@ def curve(scores: DataFrame, by: Sequence[str] = (), weight: str | None = None)
     by = list(by)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col("y").cast("int")
+    known = [_KNOWN] if _KNOWN in scores.columns else []
     folded = (
         scores.where("y IS NOT NULL AND p IS NOT NULL")
-        .select(*by, F.col("p").cast("double").alias("p"), y.alias("y"), w.alias("w"))
-        .groupBy(*by, "p")
+        .select(*by, F.col("p").cast("double").alias("p"), *known, y.alias("y"), w.alias("w"))
+        .groupBy(*by, "p", *known)
         .agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"))
         .where("n > 0")
     )
-    placed = _bucketed(folded, scores, BUCKETS).drop("cuts")
+    placed = folded.withColumnRenamed(_KNOWN, "bucket") if known else _bucketed(folded, scores, BUCKETS).drop("cuts")
     sums = placed.groupBy(*by, "bucket").agg(F.sum("k").alias("bk"), F.sum("n").alias("bn"))
     slice_, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(
@@ -337,6 +340,7 @@ def bootstrap(scores: DataFrame, metric: Column, n: int = 1000, confidence: floa
         rounded = F.get("cuts", F.greatest(F.col("bucket") - 1, F.lit(0)))
         held = _bucketed(held, held, bins).select(rounded.alias("p"), "y")
     folded = held.groupBy("p", "y").agg(F.count("*").alias("c"))
+    folded = _bucketed(folded, folded, BUCKETS).drop("cuts").withColumnRenamed("bucket", _KNOWN)
     each = folded.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
     unit = lambda tag: (F.pmod(F.xxhash64("p", "y", "rep", F.lit(seed), F.lit(tag)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     # Counts up to 30 by inversion of the distribution function, larger ones by its normal limit.
