@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondar.session import written
+from sondar.session import small, written
 
 SEED = 42
 DIGITS = 2
@@ -40,14 +40,15 @@ def negative(df: DataFrame) -> DataFrame:
 
 def gather(df: DataFrame, indices: Sequence[int] | slice, order_by: str = "sample_id") -> DataFrame:
     """Rows at positions in order of `order_by`, with (idx): order and repeats of the indices are kept;
-    negative ones count from the end; out of range raises."""
+    negative ones count from the end; out of range raises. The indices go to the rows if they are few; else both are
+    sorted. The rows are never broadcast, however small their files are."""
     ranked = _positions(df, order_by)
     n = df.count()
     chosen = list(range(*indices.indices(n))) if isinstance(indices, slice) else [i + n if i < 0 else i for i in indices]
     if bad := [i for i in chosen if not 0 <= i < n]:
         raise IndexError(f"positions {bad[:3]} of {n} rows")
     wanted = df.sparkSession.createDataFrame(list(enumerate(chosen)), "idx bigint, pos bigint")
-    return wanted.join(ranked, "pos").drop("pos")
+    return small(wanted).join(ranked.hint("merge"), "pos").drop("pos")
 
 
 def _positions(df: DataFrame, order_by: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sondar.functions.text import normalize_role, strip_all
 from sondar.operators import batching
-from sondar.session import spread
+from sondar.session import small, spread
 
 ROLE_IDS = {"system": 0, "user": 1, "assistant": 2}
 TOKEN = "token_id bigint, token string, char_start int, char_end int, msg_idx int, role_id tinyint"
@@ -301,11 +301,13 @@ def lengths(tokens: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def gather(tokens: DataFrame, samples: DataFrame, indices: Sequence[int]) -> DataFrame:
-    """Tokens of the samples at positions in order of id, with (idx); order and repeats kept, negative ones from the end."""
+    """Tokens of the samples at positions in order of id, with (idx); order and repeats kept, negative ones from the end.
+    The chosen ids go to the tokens if they are few; else both are sorted. The tokens are never broadcast: what the files of
+    their texts measure says nothing of how many there are."""
     from sondar.operators.dataset import gather as rows
 
     chosen = rows(samples.select("sample_id"), indices)
-    return chosen.join(tokens, "sample_id")
+    return small(chosen).join(tokens.hint("merge"), "sample_id")
 
 
 def truncate(tokens: DataFrame, max_tokens: int, side: str = "left", preserve: str | None = "det") -> DataFrame:

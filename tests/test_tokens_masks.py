@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sondar import session
 from sondar.operators import masks as M
 from sondar.operators import tokens as T
 from tests.conftest import rows
@@ -166,3 +167,16 @@ def test_tokenize_dataset_and_generation_prompt(spark):
     assert T.rendered(d, add_generation_prompt=True).first().text == T.rendered(d).first().text
     got = T.tokenize_dataset(d, M.assistant(include_padding=False) | M.contains("hi"), T.TEMPLATES["qwen"]).where("det")
     assert [r.token for r in got.orderBy("pos").collect()] == ["hi", "yes"]
+
+
+@pytest.mark.parametrize("most", [session.BROADCAST_BYTES, 0])
+def test_gather_never_broadcasts_rows_or_tokens(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", most)
+    data = [(i, "word " * i, [(1, 0, 5 * i)]) for i in range(1, 9)]
+    spark.createDataFrame(data, "sample_id bigint, text string, spans array<struct<role_id:int,s:int,e:int>>").write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s"))  # files of a known size, far below the limit for broadcasts
+    got = T.gather(T.tokenize(s), s, [3, 0, -1, 3])
+    joins = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [sample_id" in line or "Join [pos" in line]
+    assert len(joins) == 2 and all("BuildLeft" in j if most else "SortMergeJoin" in j for j in joins)
+    counts = got.groupBy("idx", "sample_id").count()
+    assert rows(counts) == [(0, 4, 8), (1, 1, 2), (2, 8, 16), (3, 4, 8)]
